@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import htmltext, matroska, mixing, secrets, sharding, simhash, tokens, urlfilter
+from . import decontaminate, htmltext, matroska, mixing, secrets, sharding, simhash, tokens, urlfilter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.store_and_read(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
