@@ -25,7 +25,7 @@ FILTERS = ("default", "none", "simple")
 #: Fewer points than these are searched exactly.
 SMALL = 100
 #: Depths of the rounds. Skipping depths costs candidates, never recall.
-DEPTHS = (24, 20, 17, 14, 12, 10, 8, 6, 4)
+DEPTHS = (24, 18, 14, 11, 8, 5)
 #: Share of all comparisons beyond which candidates are not worth gathering.
 WORTH = 0.25
 

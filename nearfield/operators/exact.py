@@ -147,30 +147,37 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "angular",
     return top_k(found, k)
 
 
+def _by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one pair of blocks at a time, from batches sorted by pair."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        pairs = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(pairs)) + 1).tolist(), len(pairs)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi == lo:
+                continue
+            if rest and rest[0].column(0)[0].as_py() != pairs[lo]:
+                yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+                rest = []
+            rest.append(batch.slice(lo, hi - lo))
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
 def _task_pairs(metric: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if batches else None
-        if table is None or not table.num_rows:
-            return
-        table = table.sort_by([("pair", "ascending"), ("side", "ascending"), ("id", "ascending")]).combine_chunks()
-        pairs = table.column("pair").to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(pairs)) + 1, [len(pairs)]])
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            part = table.slice(lo, hi - lo).combine_chunks()
-            side, ids = part.column("side").to_numpy(), part.column("id").to_numpy()
-            points = part.column("point").chunk(0)
+        for part in _by_pair(batches):
+            side, ids, points = part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(3)
             n = int((side == 0).sum())
-            first, second = points.slice(0, n), (points.slice(n) if n < len(ids) else points)
-            left, right = ids[:n], (ids[n:] if n < len(ids) else ids)
-            if not len(left):
-                continue
-            block = Block(metric, right, pa.concat_arrays([second]))
+            within = n == len(ids)
+            left, right = ids[:n], ids if within else ids[n:]
+            block = Block(metric, right, points if within else pa.concat_arrays([points.slice(n)]))
             step = max(1, 4_000_000 // len(right))
-            for at in range(0, len(left), step):
-                sims = block.similarities(pa.concat_arrays([first.slice(at, step)]))
+            for at in range(0, n, step):
                 some = left[at : at + step]
-                sims[some[:, None] >= right[None, :] if n == len(ids) else some[:, None] == right[None, :]] = 0
+                sims = block.similarities(pa.concat_arrays([points.slice(at, len(some))]))
+                sims[some[:, None] >= right[None, :] if within else some[:, None] == right[None, :]] = 0
                 flat = sims.ravel()
                 cut = np.partition(flat, flat.size - k)[flat.size - k] if flat.size > k else 0.0
                 row, col = np.nonzero((sims >= cut) & (sims > 0))
@@ -210,5 +217,5 @@ def closest_pairs(points: DataFrame, k: int, metric: str = "angular", column: st
     tasks = dealt.select(
         (F.least("own", "other") * blocks + F.greatest("own", "other")).alias("pair"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "point"
     )
-    found = tasks.repartition("pair").mapInArrow(_task_pairs(metric, k), "id_a long, id_b long, similarity double")
+    found = tasks.repartition("pair").sortWithinPartitions("pair", "side", "id").mapInArrow(_task_pairs(metric, k), "id_a long, id_b long, similarity double")
     return best_pairs(found, k)

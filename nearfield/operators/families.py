@@ -163,11 +163,12 @@ class MinHash:
         full = np.flatnonzero(np.diff(sets.starts))
         if not len(full):
             return out
-        row = np.repeat(np.arange(len(sets)), np.diff(sets.starts))
+        # hashes of distinct tokens only; a key orders by the hash's upper half, then by token, and holds the token
+        distinct, place = np.unique(sets.tokens, return_inverse=True)
+        starts, low = sets.starts[:-1][full], (1 << self.width) - 1
         for f, (h, permutation) in enumerate(zip(self.hashes, self.permutations, strict=True)):
-            order = np.lexsort((sets.tokens, h(sets.tokens), row))
-            least = sets.tokens[order][np.searchsorted(row[order], full)].astype(np.int64)
-            low = (1 << self.width) - 1
+            keys = h(distinct) >> np.uint64(32) << np.uint64(32) | distinct.astype(np.uint64)
+            least = (np.minimum.reduceat(keys[place], starts) & np.uint64(0xFFFFFFFF)).astype(np.int64)
             out[full, f] = (least & ~low) | permutation[least & low]
         return out
 
