@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -38,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRAIN_TOXIC = 1_200
-TRAIN_CLEAN = 2_400
+TRAIN_TOXIC = 1_000
+TRAIN_CLEAN = 2_000
 #: How often substrings should cover a toxic text.
 COVER = 3
 LANDMARKS = 160
@@ -136,7 +135,7 @@ class Kernel:
             self.columns[p][number] = c
             self.keys[p].append((number, c))
 
-    def values(self, strings: list[str], batch: int = 2_048) -> np.ndarray:
+    def values(self, strings: list[str], batch: int = 512) -> np.ndarray:
         out = np.zeros((len(strings), len(self.landmarks)), dtype=np.float32)
         for at in range(0, len(strings), batch):
             part = strings[at : at + batch]
@@ -157,7 +156,7 @@ class Kernel:
 
 def squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Weights, the last for a constant, of a linear machine with squared hinge loss, by Newton's method."""
-    x = np.hstack([z, np.ones((len(z), 1))]).astype(np.float64)
+    x = np.hstack([z, np.ones((len(z), 1))])
     w = np.zeros(x.shape[1])
     ridge = np.ones(x.shape[1])
     ridge[-1] = 1e-3
@@ -223,7 +222,7 @@ class Scorer:
             self.known.update(zip(tokens, np.maximum.reduceat(self.margins(strings), starts).tolist(), strict=True))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Highest margin, log of 1 + number of positive tokens and, if there are any, log of 1 + number of tokens."""
+        """Highest margin, log of 1 + sum of the positive margins (each up to 1) and, if there are any, log of 1 + number of tokens."""
         sets = [tokens_of(t) for t in texts]
         out = np.zeros((len(texts), 3))
         at = 0
@@ -241,7 +240,7 @@ class Scorer:
                 values = list(map(get, sets[i]))
                 positive = [v for v in values if v > 0]
                 top = max(positive) if positive else max(values, default=-2.0)
-                out[i] = max(-2.0, min(2.0, top)), np.log1p(len(positive)), np.log1p(len(values)) * bool(positive)
+                out[i] = max(-2.0, min(2.0, top)), np.log1p(sum(min(1.0, v) for v in positive)), np.log1p(len(values)) * bool(positive)
             at = stop
         return out
 
@@ -260,9 +259,33 @@ def tokens_of(text: str | None) -> set[str]:
     return found
 
 
-def _substrings(word: str) -> set[str]:
+def _substrings(word: str) -> list[str]:
     marked = f"^{word}$"
-    return {marked[i : i + k] for k in (4, 5, 6) for i in range(len(marked) - k + 1)}
+    return [marked[i : i + k] for k in (4, 5, 6) for i in range(len(marked) - k + 1)]
+
+
+def _number(g: str) -> int:
+    """A substring's number: its length, then a hash."""
+    return len(g) << 32 | zlib.crc32(g.encode("utf-8", "surrogatepass"))
+
+
+class _Numbers:
+    """Numbers of the substrings of words; each text's as those in some word and those in more than one."""
+
+    def __init__(self):
+        self.of: dict[str, np.ndarray] = {}
+
+    def word(self, w: str) -> np.ndarray:
+        if w not in self.of:
+            self.of[w] = np.unique(np.array([_number(g) for g in _substrings(w)], dtype=np.int64))
+        return self.of[w]
+
+    def text(self, words: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.word(w) for w in words if len(w) > 1]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        numbers, counts = np.unique(np.concatenate(parts), return_counts=True)
+        return numbers, numbers[counts > 1]
 
 
 def _overlap(g: str, h: str) -> bool:
@@ -283,32 +306,32 @@ def _apart(texts: list[set[str]]) -> list[int]:
 
 def witnesses(toxic: list[set[str]], clean: list[set[str]], least: int = 3) -> list[str]:
     """Substrings chosen greedily that cover the toxic texts and occur in hardly any clean text."""
-    cache: dict[str, set[str]] = {}
-
-    def grams(words: set[str]) -> tuple[set[str], set[str]]:
-        """Substrings of the words, and those of more than one word."""
-        one: set[str] = set()
-        two: set[str] = set()
-        for w in words:
-            if w not in cache:
-                cache[w] = _substrings(w)
-            two |= one & cache[w]
-            one |= cache[w]
-        return one, two
-
-    found: dict[tuple[str, int], list[int]] = defaultdict(list)
-    for i, words in enumerate(toxic):
-        for n, some in enumerate(grams(words)):
-            for g in some:
-                found[g, n].append(i)
-    where = {f: d for f, d in found.items() if len(d) >= least}
-    names = [{g for g, n in where if n == k} for k in (0, 1)]
-    in_clean: Counter = Counter()
-    for words in clean:
-        for n, some in enumerate(grams(words)):
-            in_clean.update((g, n) for g in names[n] & some)
+    numbers = _Numbers()
     share = len(clean) / max(1, len(toxic))
-    where = {g: set(d) for g, d in where.items() if in_clean[g] <= 0.02 * len(d) * share}
+    held = [numbers.text(words) for words in toxic]
+    where: dict[tuple[int, int], set[int]] = {}
+    in_clean: dict[tuple[int, int], int] = {}
+    often = []
+    for n in (0, 1):
+        every, counts = np.unique(np.concatenate([h[n] for h in held]), return_counts=True)
+        often.append((every[counts >= least], counts[counts >= least], np.zeros(int((counts >= least).sum()), dtype=np.int64)))
+    for words in clean:
+        for n, some in enumerate(numbers.text(words)):
+            every, _, count = often[n]
+            at = np.searchsorted(every, some)
+            at = at[at < len(every)]
+            count[at[np.isin(every[at], some)]] += 1
+    for n, (every, counts, count) in enumerate(often):
+        good = count <= 0.02 * counts * share
+        in_clean |= {(g, n): c for g, c in zip(every[good].tolist(), count[good].tolist(), strict=True)}
+    for i, h in enumerate(held):
+        for n in (0, 1):
+            for g in h[n].tolist():
+                if (g, n) in in_clean:
+                    where.setdefault((g, n), set()).add(i)
+    names = {v: g for words in toxic for w in words for g in _substrings(w) if ((v := _number(g)), 0) in in_clean or (v, 1) in in_clean}
+    where = {(names[g], n): d for (g, n), d in where.items()}
+    in_clean = {(names[g], n): c for (g, n), c in in_clean.items()}
     chosen: list[str] = []
     need = dict.fromkeys(range(len(toxic)), COVER)
     few = max(least, len(toxic) // 50)
@@ -352,9 +375,9 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed: i
     positive = sorted({w for ws in toxic for w in ws if marks and marks.search(f"^{w}$")} - harmless)
     if not positive:
         return nothing
-    positive = [positive[i] for i in sorted(rng.permutation(len(positive))[:6_000])]
+    positive = [positive[i] for i in sorted(rng.permutation(len(positive))[:4_000])]
     harmless = sorted(harmless)
-    negative = [harmless[i] for i in rng.permutation(len(harmless))[:12_000]]
+    negative = [harmless[i] for i in rng.permutation(len(harmless))[:8_000]]
     # landmarks: for each witness its shortest words, then words of both classes
     ranked: list[str] = []
     each = max(2, landmarks * 3 // 4 // max(1, len(chosen)))
@@ -395,11 +418,14 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed: i
         new = [x for x in dict.fromkeys(hard) if x not in set(neg)] if hard else []
         if not new:
             break
-        neg += new[:6_000]
+        neg += new[:3_000]
     scorer = Scorer(model)
     held = [i for i in range(len(texts)) if judged[i]]
     x = scorer.features([texts[i] for i in held])
-    return Model(model.weights, model.constant, _logistic(x, y[held].astype(float)))
+    w = _logistic(x, y[held].astype(float))
+    if w[2] > 0:  # a text is not more toxic for being longer
+        w = np.insert(_logistic(x[:, :2], y[held].astype(float)), 2, 0.0)
+    return Model(model.weights, model.constant, w)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
