@@ -1,0 +1,65 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from nearfield.llm import decontaminate, htmltext, matroska, mixing, secrets, sharding, simhash, tokens, toxicity, urlfilter
+from nearfield.llm.queries import URL_RULES
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, text_ string, component_id string, key string, shard string, item_id string, host string, __mix_note string"
+LONG = "word " * 60_000
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 0, -1, 2.0, "x", "y", "z", "q", "i", "h", "n") for i, t, s in rows], SCHEMA)
+
+
+ODD = [(1, None, "a"), (2, "", "a"), (3, "one", None), (None, "two words", "b"), (4, LONG, "b"), (4, LONG, "b"), (5, " \t\n", "a"), (6, "ünïcödé \U0001f600 text", "a"), (6, "ünïcödé \U0001f600 text", "a")]
+KERNEL_TEXTS = [("you are an idiot", 1), ("what an idiot this is", 1), ("idiot again here", 1), ("lovely day outside", 0), ("a fine walk today", 0), ("tea and cake for all", 0), ("reading books quietly", 0)]
+
+OPERATORS = {
+    "op2": lambda s, d: sharding.place(d),
+    "op3": lambda s, d: toxicity.score(d, toxicity.fit(*map(list, zip(*KERNEL_TEXTS, strict=True)))),
+    "op4": lambda s, d: secrets.scan(d),
+    "op5": lambda s, d: htmltext.extract(d, "text", ("doc_id", "host")),
+    "op6": lambda s, d: mixing.allocate(d),
+    "op7": lambda s, d: matroska.store_and_read(d),
+    "op8": lambda s, d: decontaminate.clean_documents(d, s.createDataFrame([(1, "some benchmark passage of words that nobody else has"), (2, None), (3, "")], "item_id long, text string")),
+    "op9": lambda s, d: simhash.near_duplicates(d),
+    "op10": lambda s, d: tokens.count_tokens(d, public_tokenizers.path("word_bpe_49k.json")),
+    "op1": lambda s, d: urlfilter.judge(d, urlfilter.rules_table(s, URL_RULES), url_col="text", keep=("doc_id", "key")),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_give_a_row_each(name, spark):
+    assert OPERATORS[name](spark, frame(spark, ODD)).count() == len(ODD)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table_gives_no_rows(name, spark):
+    found = OPERATORS[name](spark, frame(spark, []))
+    assert found.count() == 0 and len(set(found.columns)) == len(found.columns)
+
+
+@pytest.mark.parametrize("stage", [simhash.keep_first, mixing.repeat_documents, lambda d: decontaminate.clean_documents(d, d.sparkSession.createDataFrame([], "item_id long, text string"))])
+def test_stages_keep_columns(stage, spark):
+    docs = frame(spark, ODD)
+    assert stage(docs).columns == docs.columns and stage(frame(spark, [])).count() == 0
+
+
+def test_defined_results(spark):
+    docs = frame(spark, ODD)
+    counted = {(r.doc_id, r.n_bytes, r.n_tokens) for r in tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).collect()}
+    assert {(1, 0, 0), (2, 0, 0), (5, 3, 0)} <= counted
+    prints = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert prints[1] == prints[2] == prints[5] == (0, 1)
+    media = {r.doc_id: (r.n_bytes, r.payload_bytes) for r in matroska.store_and_read(docs).collect()}
+    assert media[1] == media[2] == (0, 64) and media[3] == (3, 64) and media[4][1] % 64 == 0
+    assert all(r.spans == "" for r in secrets.scan(docs).collect())
+    same = toxicity.score(docs, toxicity.fit([], [])).select(F.max("score")).first()[0]
+    assert same == 0.0
+    kept = simhash.keep_first(docs).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id) == sorted({r.component_id for r in simhash.near_duplicates(docs).collect() if r.component_id})
