@@ -254,7 +254,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
     keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__keep_id")).agg(F.count("*").alias("__rows"))
     keep = persist_table(keep, "simhash-keep")
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep_id")))
+    # as many ids as documents that stay: they are never broadcast, however few they are here
+    kept = docs.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep_id")))
     if keep.where("__rows > 1").isEmpty():
         return kept.select(*docs.columns)
     return kept.where("__rows = 1").select(*docs.columns).unionByName(kept.where("__rows > 1").select(*docs.columns).dropDuplicates([id_col]))
