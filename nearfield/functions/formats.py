@@ -56,7 +56,7 @@ def token_set(tokens: Column, universe: int | None = None) -> Column:
 
 def text_tokens(text: Column, universe: int) -> Column:
     """Words of a text as a set of MD5-derived tokens in [0, universe); universe is a power of two."""
-    words = F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
+    words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != ""))
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(universe)).cast("int"))))
 
 

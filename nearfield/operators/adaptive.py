@@ -19,7 +19,7 @@ from nearfield.session import persist_table
 
 from . import exact
 from .hash_sources import DEPTH, Source
-from .tables import SKETCHES, bucket_sizes, prefix, prefix_candidates, sketch_passes
+from .tables import SKETCHES, prefix, prefix_candidates, sketch_passes
 
 FILTERS = ("default", "none", "simple")
 #: Fewer points than these are searched exactly.
@@ -39,6 +39,14 @@ def failure_table(source: Source, depth: int, steps: int = 1000) -> list[float]:
     return [source.failure(depth, i / steps) for i in range(steps + 1)]
 
 
+def candidates_at(tables: DataFrame, wanted: DataFrame, depths: Sequence[int]) -> dict[int, int]:
+    """For each depth the rows that the prefix join of wanted (table_id, hash) with the tables would make, in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), prefix(F.col("hash"), d).alias("prefix")) for d in depths])).alias("at")
+    count = lambda df, name: df.select("table_id", each).groupBy("table_id", "at").agg(F.count("*").alias(name))
+    rows = count(tables, "size").join(count(wanted, "asked"), ["table_id", "at"]).groupBy("at.depth").agg(F.sum(F.col("size") * F.col("asked"))).collect()
+    return dict.fromkeys(depths, 0) | {r[0]: r[1] for r in rows}
+
+
 def search(
     points: DataFrame, tables: DataFrame, queries: DataFrame, source: Source, sketch_collision, k: int, recall: float, metric: str, column: str, filter_type: str = "default", exclude_self: bool = False, depths: Sequence[int] = DEPTHS
 ) -> DataFrame:
@@ -62,13 +70,12 @@ def search(
     top: DataFrame | None = None
     done: list[DataFrame] = []
     compare = similarity_column(metric)
+    wanted = queries.select(F.posexplode("hashes").alias("table_id", "hash"))
+    work = candidates_at(tables, wanted, depths)
     for depth in depths:
-        hashes = queries.join(active, "query_id").select("query_id", "kth", "sketches", F.posexplode("hashes").alias("table_id", "hash"))
-        sizes = bucket_sizes(tables, depth)
-        wanted = hashes.groupBy("table_id", prefix(F.col("hash"), depth).alias("prefix")).agg(F.count("*").alias("asked"))
-        work = sizes.join(wanted, ["table_id", "prefix"]).agg(F.sum(F.col("size") * F.col("asked"))).first()[0] or 0
-        if work > WORTH * asked * n:
+        if work[depth] > WORTH * asked * n:
             break
+        hashes = queries.join(active, "query_id").select("query_id", "kth", "sketches", F.posexplode("hashes").alias("table_id", "hash"))
         found = prefix_candidates(hashes, tables, depth)
         if filter_type != "none":
             slot = F.pmod(F.col("table_id"), F.lit(SKETCHES)) + 1
@@ -124,9 +131,9 @@ def closest_pairs(points: DataFrame, tables: DataFrame, source: Source, k: int,
     rows = persist_table(tables.join(some.select("id"), "id", "left_semi"), "pairs-tables")
     compare = similarity_column(metric)
     top: DataFrame | None = None
+    work = candidates_at(rows, rows, depths)  # each pair twice, and each point with itself
     for depth in depths:
-        work = bucket_sizes(rows, depth).agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0] or 0
-        if work > WORTH * n * (n - 1) / 2 and work > 10_000_000:
+        if work[depth] / 2 > WORTH * n * (n - 1) / 2:
             break
         other = rows.select(F.col("table_id").alias("t"), F.col("hash").alias("h"), F.col("id").alias("id_b"))
         pairs = rows.withColumnRenamed("id", "id_a").join(other, (F.col("table_id") == F.col("t")) & (prefix(F.col("hash"), depth) == prefix(F.col("h"), depth)) & (F.col("id_a") < F.col("id_b")))

@@ -38,10 +38,15 @@ def simhash_tables(points: DataFrame, tables: int, bits: int, dimensions: int, i
 
 
 def minhash_tables(sets: DataFrame, tables: int, id_col: str = "id", column: str = "tokens", seed: int = 42) -> DataFrame:
-    """table_id, id, token (of smallest hash, then smallest), hash."""
-    each = sets.select(F.col(id_col).alias("id"), F.explode(column).alias("token"), F.lit(0).alias("one")).withColumn("table_id", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))))
-    hashed = each.withColumn("hash", md5_int(F.concat_ws(":", F.lit(str(seed)), "table_id", "token")))
-    return hashed.groupBy("table_id", "id").agg(F.min(F.struct("hash", "token")).alias("least")).select("table_id", "id", F.col("least.token").alias("token"), F.col("least.hash").alias("hash"))
+    """table_id, id, token (of smallest hash, then smallest), hash.
+
+    A token is hashed once, not once for each set that holds it; sets meet the tokens' hashes by a join.
+    """
+    each = sets.select(F.col(id_col).alias("id"), F.explode(column).alias("token"))
+    hashes = [F.struct(md5_int(F.concat(F.lit(f"{seed}:{t}:"), F.col("token").cast("string"))).alias("hash"), "token").alias(f"h{t}") for t in range(tables)]
+    known = each.select("token").distinct().select("token", *hashes)
+    least = each.join(known, "token").groupBy("id").agg(*[F.min(f"h{t}").alias(f"h{t}") for t in range(tables)])
+    return least.select("id", F.posexplode(F.array(*[F.col(f"h{t}") for t in range(tables)])).alias("table_id", "least")).select("table_id", "id", F.col("least.token").alias("token"), F.col("least.hash").alias("hash"))
 
 
 def tabulation_hash(token: Column, seed: int = 42) -> Column:

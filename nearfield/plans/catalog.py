@@ -44,7 +44,8 @@ def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), formats.text_tokens(F.col("text"), UNIVERSE).alias("tokens"))
+    texts = sources.table_points(spark, f"{sf_dir}/documents.parquet", "doc_id", "text", "text")
+    return texts.select("id", formats.text_tokens(F.col("text"), UNIVERSE).alias("tokens"))
 
 
 def bench_sets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,14 @@ def random_sets(spark: SparkSession, n: int, universe: int, share: float = 0.3,
     return spark.range(n).select("id", kept.alias("tokens"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes from fewer files than there are cores, as a file's row group is one task's."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+
+
 def table_points(spark: SparkSession, path: str, id_col: str, column: str, name: str = "features") -> DataFrame:
-    return spark.read.parquet(path).select(F.col(id_col).alias("id"), F.col(column).alias(name))
+    return spread(spark.read.parquet(path).select(F.col(id_col).alias("id"), F.col(column).alias(name)))
 
 
 def log_measurements(rows: list[dict], spark: SparkSession, path: str) -> None:
