@@ -9,6 +9,7 @@ a collection of fewer than SMALL points. Rounds end in tables in the shared fold
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -48,9 +49,9 @@ def candidates_at(tables: DataFrame, wanted: DataFrame, depths: Sequence[int]) -
 
 
 def search(
-    points: DataFrame, tables: DataFrame, queries: DataFrame, source: Source, sketch_collision, k: int, recall: float, metric: str, column: str, filter_type: str = "default", exclude_self: bool = False, depths: Sequence[int] = DEPTHS
+    points: DataFrame, tables: DataFrame, queries: DataFrame, source: Source, sketch_collision, k: int, recall: float, metric: str, column: str, filter_type: str = "default", exclude_self: bool = False, depths: Sequence[int] = DEPTHS, trace: list[dict] | None = None
 ) -> DataFrame:
-    """query_id, id, similarity, rank.
+    """query_id, id, similarity, rank. trace gets a row for each round: depth, candidates, queries, finished, seconds.
 
     points: id, column, sketches; tables: table_id, hash, id; queries: query_id, column, hashes, sketches.
     """
@@ -69,12 +70,17 @@ def search(
     active = queries.select("query_id", F.lit(0.0).alias("kth"))
     top: DataFrame | None = None
     done: list[DataFrame] = []
+    before = asked
     compare = similarity_column(metric)
     wanted = queries.select(F.posexplode("hashes").alias("table_id", "hash"))
     work = candidates_at(tables, wanted, depths)
     for depth in depths:
         if work[depth] > WORTH * asked * n:
             break
+        if work[depth] < asked * (k + source.tables):
+            # too few to finish the queries, even if each meets itself in all tables; a shorter prefix holds these candidates too
+            continue
+        began = time.perf_counter()
         hashes = queries.join(active, "query_id").select("query_id", "kth", "sketches", F.posexplode("hashes").alias("table_id", "hash"))
         found = prefix_candidates(hashes, tables, depth)
         if filter_type != "none":
@@ -94,26 +100,42 @@ def search(
             scored = scored.unionByName(top.select("query_id", "id", "similarity"))
         top = persist_table(exact.top_k(scored, k), "search-top")
         kth = top.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(0.0).alias("kth"))
-        risk = F.array(*[F.lit(x) for x in failure_table(source, depth)])
+        risk = _constants(failure_table(source, depth))
         state = active.drop("kth").join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(0.0)))
         state = persist_table(state.withColumn("finished", F.element_at(risk, F.floor(F.col("kth") * 1000).cast("int") + 1) <= 1 - recall), "search-state")
         finished = state.where("finished").select("query_id")
         done.append(top.join(finished, "query_id", "left_semi").select("query_id", "id", "similarity", "rank"))
         active = state.where("not finished").select("query_id", "kth")
         top = top.join(active, "query_id", "left_semi").drop("rank")
-        if active.isEmpty():
-            break
+        left = active.count()
+        if trace is not None:
+            trace.append({"depth": depth, "candidates": int(work[depth]), "queries": before, "finished": before - left, "seconds": time.perf_counter() - began})
+        before = left
+        if not left:
+            return _all(done)
     rest = queries.join(active, "query_id", "left_semi")
+    began = time.perf_counter()
     done.append(exact.knn(points, rest, k, metric, column, exclude_self).select("query_id", "id", "similarity", "rank"))
-    out = done[0]
-    for part in done[1:]:
+    if trace is not None:
+        trace.append({"depth": 0, "candidates": before * n, "queries": before, "finished": before, "seconds": time.perf_counter() - began})
+    return _all(done)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _constants(values: list):
+    """An array of constants, as one expression."""
+    return F.expr("array(" + ",".join(f"{v!r}D" if isinstance(v, float) else repr(v) for v in values) + ")")
+
+
 def _threshold(collision, kth):
     """Differing sketch bits allowed at the kth similarity, from a grid of similarities."""
-    grid = F.array(*[F.lit(probability.sketch_threshold(collision, i / 1000)) for i in range(1001)])
+    grid = _constants([probability.sketch_threshold(collision, i / 1000) for i in range(1001)])
     return F.element_at(grid, F.floor(kth * 1000).cast("int") + 1)
 
 
@@ -131,10 +153,12 @@ def closest_pairs(points: DataFrame, tables: DataFrame, source: Source, k: int,
     rows = persist_table(tables.join(some.select("id"), "id", "left_semi"), "pairs-tables")
     compare = similarity_column(metric)
     top: DataFrame | None = None
-    work = candidates_at(rows, rows, depths)  # each pair twice, and each point with itself
+    work, own = candidates_at(rows, rows, depths), rows.count()  # each pair twice, and each point with itself
     for depth in depths:
         if work[depth] / 2 > WORTH * n * (n - 1) / 2:
             break
+        if (work[depth] - own) / 2 < k:
+            continue
         other = rows.select(F.col("table_id").alias("t"), F.col("hash").alias("h"), F.col("id").alias("id_b"))
         pairs = rows.withColumnRenamed("id", "id_a").join(other, (F.col("table_id") == F.col("t")) & (prefix(F.col("hash"), depth) == prefix(F.col("h"), depth)) & (F.col("id_a") < F.col("id_b")))
         pairs = pairs.select("id_a", "id_b").distinct()

@@ -436,6 +436,14 @@ def word_vector_round_trip(spark, sf_dir):
     return sources.read_word_vectors(spark, path).select("word", F.posexplode("features").alias("dim", "value")).select("word", F.col("dim").cast("long").alias("dim"), "value")
 
 
+@query("SELECT 20::BIGINT AS queries, 20::BIGINT AS finished")
+def search_metrics(spark, sf_dir):
+    """Queries that a search was asked and that its rounds finished."""
+    index = AnnIndex(spark, "angular", DIMENSIONS, num_tables=8, hash_function="simhash").insert(vectors(spark, sf_dir)).rebuild()
+    index.search(asked_vectors(spark, sf_dir), K, 0.5)
+    return index.query_metrics().agg(F.max("queries").alias("queries"), F.sum("finished").alias("finished"))
+
+
 @query()
 def random_points(spark, sf_dir):
     return sources.random_vectors(spark, 500, 5).join(sources.random_sets(spark, 500, 100), "id")

@@ -48,6 +48,7 @@ class AnnIndex:
         self.built: DataFrame | None = None
         self.tables: DataFrame | None = None
         self.staged: list[DataFrame] = []
+        self.metrics: list[dict] = []
 
     # points
 
@@ -144,7 +145,14 @@ class AnnIndex:
         hashed = hashed.select(F.col("id").alias("query_id"), F.slice("hashes", 1, self.tables_used).alias("hashes"), "sketches")
         self.source.tables = self.tables_used
         sketch = families.FAMILIES[families.DEFAULT_SKETCH[self.spec.metric]].collision(self.spec.dimensions)
-        return adaptive.search(self.built, self.tables, asked.join(hashed, "query_id"), self.source, sketch, k, recall, self.spec.metric, self.column, filter_type, exclude_self)
+        return adaptive.search(self.built, self.tables, asked.join(hashed, "query_id"), self.source, sketch, k, recall, self.spec.metric, self.column, filter_type, exclude_self, trace=self.metrics)
+
+    def query_metrics(self) -> DataFrame:
+        """A row for each round of the searches since the last clear_metrics(): depth, candidates, queries, finished, seconds."""
+        return self.spark.createDataFrame([tuple(r[c] for c in ("depth", "candidates", "queries", "finished", "seconds")) for r in self.metrics], "depth int, candidates long, queries long, finished long, seconds double")
+
+    def clear_metrics(self) -> None:
+        self.metrics = []
 
     def search_from_index(self, ids: DataFrame, k: int, recall: float, filter_type: str = "default") -> DataFrame:
         """The same for stored points (column id), which are not their own neighbours."""

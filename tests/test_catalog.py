@@ -7,7 +7,7 @@ from nearfield.plans import catalog
 from .conftest import rows_of
 
 #: These take many rounds; tests/test_index.py covers the same paths with fewer tables.
-SLOW = {"knn_lsh_tensor_simhash", "knn_lsh_pool", "knn_lsh_jaccard", "incremental_append_search", "save_load_search", "closest_baskets_bf"}
+SLOW = {"knn_lsh_tensor_simhash", "knn_lsh_pool", "knn_lsh_jaccard", "incremental_append_search", "save_load_search", "closest_baskets_bf", "search_metrics"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - SLOW))
