@@ -43,10 +43,12 @@ def minhash_tables(sets: DataFrame, tables: int, id_col: str = "id", column: str
     A token is hashed once, not once for each set that holds it; sets meet the tokens' hashes by a join.
     """
     each = sets.select(F.col(id_col).alias("id"), F.explode(column).alias("token"))
-    hashes = [F.struct(md5_int(F.concat(F.lit(f"{seed}:{t}:"), F.col("token").cast("string"))).alias("hash"), "token").alias(f"h{t}") for t in range(tables)]
-    known = each.select("token").distinct().select("token", *hashes)
+    # hash (32 bits) and token (31 bits) in one number, whose minimum is a hash aggregate
+    keys = [(F.shiftleft(md5_int(F.concat(F.lit(f"{seed}:{t}:"), F.col("token").cast("string"))), 31) + F.col("token")).alias(f"h{t}") for t in range(tables)]
+    known = each.select("token").distinct().select("token", *keys)
     least = each.join(known, "token").groupBy("id").agg(*[F.min(f"h{t}").alias(f"h{t}") for t in range(tables)])
-    return least.select("id", F.posexplode(F.array(*[F.col(f"h{t}") for t in range(tables)])).alias("table_id", "least")).select("table_id", "id", F.col("least.token").alias("token"), F.col("least.hash").alias("hash"))
+    each_table = least.select("id", F.posexplode(F.array(*[F.col(f"h{t}") for t in range(tables)])).alias("table_id", "key"))
+    return each_table.select("table_id", "id", F.col("key").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("token"), F.shiftright("key", 31).alias("hash"))
 
 
 def tabulation_hash(token: Column, seed: int = 42) -> Column:
