@@ -46,6 +46,9 @@ BOILERPLATE_WORDS = frozenset(
     "sidebar aside widget related recommended share sharing social comment comments reply replies discussion disqus respond notice notices cookie cookies consent gdpr popup modal "
     "newsletter subscribe subscription signup login form search pagination pager copyright legal toolbar skip".split()
 )
+COMMENT_WORDS = frozenset(["comment", "comments", "reply"])
+#: Names that tell how a page is laid out, such as has-sidebar, not what an element holds.
+LAYOUT = ("has-", "with-", "no-", "without-")
 MAIN_TAGS = frozenset(["article", "main"])
 MAIN_WORDS = frozenset("article content main post entry story text body maincontent postcontent".split())
 MARKS = re.compile(r"[.,;:!?¿¡…。，、；：！？]")
@@ -66,9 +69,11 @@ def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
     words: list[str] = []
     if attributes and "=" in attributes:
         for m in NAMES.finditer(attributes):
-            words += re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                if not name.startswith(LAYOUT):
+                    words += re.split(r"[^a-z0-9]+", name)
     words = [w for w in words if w]
-    bad = tag in BOILERPLATE_TAGS or (tag not in ("html", "body", "article", "main") and not BOILERPLATE_WORDS.isdisjoint(words))
+    bad = tag in BOILERPLATE_TAGS or (tag not in ("html", "body", "article", "main") and not BOILERPLATE_WORDS.isdisjoint(words)) or (tag == "article" and not COMMENT_WORDS.isdisjoint(words))
     main = tag in MAIN_TAGS or (not bad and not MAIN_WORDS.isdisjoint(words) and tag in ("div", "section", "td"))
     return (tag + "." + ".".join(words) if words else tag), bad, main
 

@@ -145,6 +145,7 @@ def test_novelty_tells_keys_from_names():
         ("<nav>Menu, only. Menu.</nav>", ""),
         ("<body><header><h1>Site</h1></header><div class='content'><h2>T &lt; x</h2><p>Real text, here.<p>More&nbsp;text, indeed.</div><div id=comments><p>User says, hello.</p></div><form>name</form></body>", "T < x Real text, here. More text, indeed."),
         ("<article><h1>A</h1><p>b<b>c</b> <i>d</i></p><script>x('</p>')</script><style>p{}</style><!-- <p>no</p> --><ul><li>e<li>f</ul></article><aside><p>Aside, long text that goes on, and on.</p></aside>", "A bc d e f"),
+        ("<body><div class='page has-sidebar'><article><p>Text, of it.</p><div class='notice'>Old.</div></article><div id=comments><article class=comment-body><p>Nice, one.</p></article></div></div></body>", "Text, of it."),
         ("<article><p>a &lt;b&gt; 1 < 2 &amp;&amp; x</p></article>", "a <b> 1 < 2 && x"),
     ],
 )
