@@ -453,11 +453,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for label, most in ((1, toxic), (0, clean)):
         some = marked.where(F.col("label") == label).orderBy(F.xxhash64("id", F.lit("train")), "id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(picked), "id").select("id", "text", "label").collect()
-    first = {r[0]: (r[1], int(r[2])) for r in sorted(rows, key=lambda r: (r[0], r[1]), reverse=True)}
-    ordered = [first[k] for k in sorted(first)]
-    return fit([t for t, _ in ordered], [v for _, v in ordered])
-
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(picked), "id")
+    # a text for each id, however many rows repeat it
+    rows = found.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")).collect()
+    ordered = sorted(rows, key=lambda r: r["id"])
+    return fit([r["text"] for r in ordered], [int(r["label"]) for r in ordered])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
