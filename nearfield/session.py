@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return reach_workers(spark)
+
+
+def reach_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers that see this folder import the package, whatever the working directory.
+
+    Elsewhere the package is installed on the executors or sent with --py-files.
+    """
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
 
 
