@@ -32,7 +32,8 @@ WORTH = 0.25
 
 
 def similarity_column(metric: str) -> Callable:
-    return similarity.jaccard if metric == "jaccard" else similarity.cosine01
+    """Of points as the index stores them: sets without repetitions, vectors of length 1 or 0."""
+    return similarity.jaccard if metric == "jaccard" else similarity.unit_cosine01
 
 
 def failure_table(source: Source, depth: int, steps: int = 1000) -> list[float]:
