@@ -20,6 +20,9 @@ DIMENSIONS = 64
 UNIVERSE = 4096
 #: Queries of the search examples: the stored points of the smallest ids.
 ASKED = 20
+FIRST = f"id < {ASKED}"
+#: Queries of the searches over the whole query set, which grows with the table.
+EVERY_20TH = "id % 20 = 0"
 K = 10
 
 
@@ -39,8 +42,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.table_points(spark, f"{sf_dir}/embeddings.parquet", "vec_id", "embedding")
 
 
-def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where(F.col("id") < ASKED).withColumnRenamed("id", "query_id")
+def asked_vectors(spark: SparkSession, sf_dir: str, asked: str = FIRST) -> DataFrame:
+    return vectors(spark, sf_dir).where(asked).withColumnRenamed("id", "query_id")
 
 
 def doc_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,13 +160,13 @@ def jaccard_pairs(spark, sf_dir):
 
 
 @query(knn_sql(COSINE, exclude_self=True))
-def knn_cosine_bf(spark, sf_dir):
-    return rounded(exact.knn(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), K, exclude_self=True))
+def knn_cosine_bf(spark, sf_dir, asked=FIRST):
+    return rounded(exact.knn(vectors(spark, sf_dir), asked_vectors(spark, sf_dir, asked), K, exclude_self=True))
 
 
 @query(knn_sql(L2))
-def knn_l2_bf(spark, sf_dir):
-    return rounded(exact.knn(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), K, "l2"))
+def knn_l2_bf(spark, sf_dir, asked=FIRST):
+    return rounded(exact.knn(vectors(spark, sf_dir), asked_vectors(spark, sf_dir, asked), K, "l2"))
 
 
 @query(
@@ -177,10 +180,10 @@ def knn_jaccard_bf(spark, sf_dir):
 
 
 @query(knn_sql(COSINE, exclude_self=True))
-def knn_from_index_bf(spark, sf_dir):
+def knn_from_index_bf(spark, sf_dir, asked=FIRST):
     """Neighbours of stored points by id, at full recall."""
     index = AnnIndex(spark, "angular", DIMENSIONS, num_tables=2).insert(vectors(spark, sf_dir)).rebuild()
-    return rounded(index.search_from_index(spark.range(ASKED), K, 1.0))
+    return rounded(index.search_from_index(vectors(spark, sf_dir).where(asked).select("id"), K, 1.0))
 
 
 @query(PAIRS_SQL.format(COSINE))
@@ -299,10 +302,10 @@ def prefix_buckets(spark, sf_dir):
 
 
 @query(f"WITH {PLANES_SQL} SELECT DISTINCT q.id AS query_id, p.id FROM h q JOIN h p ON q.table_id = p.table_id AND q.hash >> {DEPTH_SHIFT} = p.hash >> {DEPTH_SHIFT} WHERE q.id < {ASKED}")
-def prefix_candidates(spark, sf_dir):
+def prefix_candidates(spark, sf_dir, asked=FIRST):
     rows = hash_rows(spark, sf_dir).withColumn("hash", F.shiftleft("hash", hash_sources.DEPTH - BITS))
-    asked = rows.where(F.col("id") < ASKED).withColumnRenamed("id", "query_id")
-    return tables.prefix_candidates(asked, rows, 6).select("query_id", "id").distinct()
+    queries = rows.where(asked).withColumnRenamed("id", "query_id")
+    return tables.prefix_candidates(queries, rows, 6).select("query_id", "id").distinct()
 
 
 @query(f"WITH {PLANES_SQL} SELECT table_id, hash, count(*)::BIGINT AS points, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM h GROUP BY ALL HAVING count(*) > 1")
@@ -313,10 +316,10 @@ def equal_hash_segments(spark, sf_dir):
 
 
 @query(f"WITH {PLANES_SQL} SELECT q.table_id, q.id AS query_id, p.id FROM h q JOIN h p ON q.table_id = p.table_id WHERE q.id < {ASKED} AND bit_count(xor(q.hash, p.hash)) <= 2")
-def sketch_hamming_filter(spark, sf_dir):
+def sketch_hamming_filter(spark, sf_dir, asked=FIRST):
     rows = hash_rows(spark, sf_dir)
-    asked = F.broadcast(rows.where(F.col("id") < ASKED).select("table_id", F.col("id").alias("query_id"), F.col("hash").alias("asked")))
-    return rows.join(asked, "table_id").where(tables.sketch_passes(F.col("hash"), F.col("asked"), F.lit(2))).select("table_id", "query_id", "id")
+    queries = F.broadcast(rows.where(asked).select("table_id", F.col("id").alias("query_id"), F.col("hash").alias("asked")))
+    return rows.join(queries, "table_id").where(tables.sketch_passes(F.col("hash"), F.col("asked"), F.lit(2))).select("table_id", "query_id", "id")
 
 
 # probabilities
@@ -383,18 +386,18 @@ def built(spark, sf_dir, **options) -> AnnIndex:
 
 
 @query(knn_sql(COSINE))
-def knn_lsh_search(spark, sf_dir):
-    return rounded(built(spark, sf_dir).search(asked_vectors(spark, sf_dir), K, NEARLY_ALL, "none"))
+def knn_lsh_search(spark, sf_dir, asked=FIRST):
+    return rounded(built(spark, sf_dir).search(asked_vectors(spark, sf_dir, asked), K, NEARLY_ALL, "none"))
 
 
 @query(knn_sql(COSINE))
-def knn_lsh_tensor_simhash(spark, sf_dir):
-    return rounded(built(spark, sf_dir, hash_function="simhash", hash_source="tensor", num_tables=25).search(asked_vectors(spark, sf_dir), K, NEARLY_ALL, "none"))
+def knn_lsh_tensor_simhash(spark, sf_dir, asked=FIRST):
+    return rounded(built(spark, sf_dir, hash_function="simhash", hash_source="tensor", num_tables=25).search(asked_vectors(spark, sf_dir, asked), K, NEARLY_ALL, "none"))
 
 
 @query(knn_sql(COSINE))
-def knn_lsh_pool(spark, sf_dir):
-    return rounded(built(spark, sf_dir, hash_source="pool", source_args={"pool_size": 700}).search(asked_vectors(spark, sf_dir), K, NEARLY_ALL, "none"))
+def knn_lsh_pool(spark, sf_dir, asked=FIRST):
+    return rounded(built(spark, sf_dir, hash_source="pool", source_args={"pool_size": 700}).search(asked_vectors(spark, sf_dir, asked), K, NEARLY_ALL, "none"))
 
 
 @query(
@@ -414,18 +417,18 @@ def closest_pairs_lsh(spark, sf_dir):
 
 
 @query(knn_sql(COSINE))
-def incremental_append_search(spark, sf_dir):
+def incremental_append_search(spark, sf_dir, asked=FIRST):
     """Half the points, a rebuild, the other half, another rebuild, then a search over all."""
     v = vectors(spark, sf_dir)
     index = AnnIndex(spark, "angular", DIMENSIONS, num_tables=24).insert(v.where("id % 2 = 0")).rebuild().insert(v.where("id % 2 = 1")).rebuild()
-    return rounded(index.search(asked_vectors(spark, sf_dir), K, NEARLY_ALL, "none"))
+    return rounded(index.search(asked_vectors(spark, sf_dir, asked), K, NEARLY_ALL, "none"))
 
 
 @query(knn_sql(COSINE))
-def save_load_search(spark, sf_dir):
+def save_load_search(spark, sf_dir, asked=FIRST):
     path = scratch_path(spark, "saved-index")
     built(spark, sf_dir).save(path)
-    return rounded(AnnIndex.load(spark, path).search(asked_vectors(spark, sf_dir), K, NEARLY_ALL, "none"))
+    return rounded(AnnIndex.load(spark, path).search(asked_vectors(spark, sf_dir, asked), K, NEARLY_ALL, "none"))
 
 
 @query("SELECT 'w' || vec_id AS word, dim - 1 AS dim, embedding[dim] AS value FROM embeddings, generate_series(1, 64) g(dim)")
@@ -437,13 +440,31 @@ def word_vector_round_trip(spark, sf_dir):
 
 
 @query("SELECT 20::BIGINT AS queries, 20::BIGINT AS finished")
-def search_metrics(spark, sf_dir):
+def search_metrics(spark, sf_dir, asked=FIRST):
     """Queries that a search was asked and that its rounds finished."""
     index = AnnIndex(spark, "angular", DIMENSIONS, num_tables=8, hash_function="simhash").insert(vectors(spark, sf_dir)).rebuild()
-    index.search(asked_vectors(spark, sf_dir), K, 0.5)
+    index.search(asked_vectors(spark, sf_dir, asked), K, 0.5)
     return index.query_metrics().agg(F.max("queries").alias("queries"), F.sum("finished").alias("finished"))
 
 
 @query()
 def random_points(spark, sf_dir):
     return sources.random_vectors(spark, 500, 5).join(sources.random_sets(spark, 500, 100), "id")
+
+
+# the same searches for the whole query set: every stored point whose id is divisible by 20, against all points
+
+
+def whole(f) -> None:
+    name = f"{f.__name__}_every_20th"
+    sql = ORACLES[f.__name__].replace(f"q.vec_id < {ASKED}", "q.vec_id % 20 = 0").replace(f"q.id < {ASKED}", "q.id % 20 = 0")
+    query(sql, name)(lambda spark, sf_dir: f(spark, sf_dir, EVERY_20TH))
+
+
+for f in (knn_cosine_bf, knn_l2_bf, knn_from_index_bf, prefix_candidates, sketch_hamming_filter, knn_lsh_search, knn_lsh_tensor_simhash, knn_lsh_pool, incremental_append_search, save_load_search):
+    whole(f)
+
+
+@query("SELECT count(*)::BIGINT AS queries, count(*)::BIGINT AS finished FROM embeddings WHERE vec_id % 20 = 0")
+def search_metrics_every_20th(spark, sf_dir):
+    return search_metrics(spark, sf_dir, EVERY_20TH)
