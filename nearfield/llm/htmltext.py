@@ -3,9 +3,10 @@
 A page is cut into text nodes, each with its root-to-leaf tag path (class and id words included). Per path
 the text length, punctuation, link text and number of nodes are added up; the two ratios (characters and
 punctuation marks per node) are smoothed along the page, fused, and thresholded. The paths that pass name
-the region that holds the article: the deepest ancestor path with most of the fused weight. All nodes in
-that region are content unless their path goes through boilerplate (menus, headers, footers, sidebars,
-notices, adverts, forms, comments) or is made of links only.
+the region that holds the article: an article or main element with most of the fused weight, whole and with
+the articles beside it, or else the common ancestor of all paths that pass without a bonus for names, and of
+top headings. All nodes in that region are content unless their path goes through boilerplate (menus, headers,
+footers, sidebars, notices, adverts, forms, comments) or is made of links only.
 
 Defined results: null and empty pages, and pages without content, give an empty text; character
 references are decoded; white space in a block becomes one space; blocks are joined by one space in page
@@ -55,6 +56,8 @@ MARKS = re.compile(r"[.,;:!?¿¡…。，、；：！？]")
 #: Neighbours on each side that a node's ratios are smoothed over, and the share of weight that the region must hold.
 SMOOTH = 2
 SHARE = 0.8
+#: Elements that are parts of a text and hold no whole one.
+WITHIN = frozenset("p li h1 h2 h3 h4 h5 h6 td tr blockquote pre".split())
 
 
 class Node:
@@ -161,8 +164,8 @@ def _smoothed(values: list[float], width: int = SMOOTH) -> list[float]:
     return out
 
 
-def path_scores(found: list[Node]) -> dict[tuple[str, ...], float]:
-    """The fused, smoothed ratio of each path that is not boilerplate."""
+def path_scores(found: list[Node], bonus: float = 4) -> dict[tuple[str, ...], float]:
+    """The fused, smoothed ratio of each path that is not boilerplate, times bonus where names mark the main text."""
     length: dict = defaultdict(int)
     marks: dict = defaultdict(int)
     count: dict = defaultdict(int)
@@ -184,17 +187,26 @@ def path_scores(found: list[Node]) -> dict[tuple[str, ...], float]:
     best: dict = defaultdict(float)
     for p, t, k in zip(order, text_ratio, mark_ratio, strict=True):
         main = any(s.split(".")[0] in MAIN_TAGS or not MAIN_WORDS.isdisjoint(s.split(".")[1:]) for s in p)
-        best[p] = max(best[p], math.log1p(t) * (1 + math.log1p(k)) * (4 if main else 1))
+        best[p] = max(best[p], math.log1p(t) * (1 + math.log1p(k)) * (bonus if main else 1))
     return dict(best)
 
 
+def passing(scores: dict[tuple[str, ...], float]) -> set[tuple[str, ...]]:
+    mean = sum(scores.values()) / len(scores)
+    return {p for p, s in scores.items() if s >= 0.6 * mean}
+
+
+def _tag(step: str) -> str:
+    return step.split(".")[0]
+
+
 def region(found: list[Node]) -> tuple[str, ...] | None:
-    """The deepest path prefix that holds SHARE of the weight of the paths above the threshold."""
+    """The path of the article or main element that holds SHARE of the weight of the paths above the threshold, or
+    else the common ancestor of all that pass whatever they are called."""
     scores = path_scores(found)
     if not scores:
         return None
-    mean = sum(scores.values()) / len(scores)
-    passed = {p for p, s in scores.items() if s >= 0.6 * mean}
+    passed = passing(scores)
     weight: dict = defaultdict(float)
     for n in found:
         if n.path in passed and not n.bad:
@@ -205,12 +217,19 @@ def region(found: list[Node]) -> tuple[str, ...] | None:
     at: tuple[str, ...] = ()
     while True:
         below = [p for p in weight if len(p) == len(at) + 1 and p[: len(at)] == at]
+        of_main = [p for p in below if _tag(p[-1]) in MAIN_TAGS]
+        if of_main and sum(weight[p] for p in of_main) >= SHARE * total:
+            return max(of_main, key=weight.__getitem__)
         heaviest = max(below, key=weight.__getitem__, default=None)
         if heaviest is None or weight[heaviest] < SHARE * total:
-            return at
-        if heaviest[-1].split(".")[0] in INLINE or heaviest[-1].split(".")[0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "blockquote", "pre"):
-            return at
+            break
         at = heaviest
+    held = passed | passing(path_scores(found, 1)) | {n.path for n in found if not n.bad and n.text.strip() and "h1" in map(_tag, n.path)}
+    low, high = min(held), max(held)
+    k = 0
+    while k < min(len(low), len(high)) and low[k] == high[k] and _tag(low[k]) not in INLINE | WITHIN:
+        k += 1
+    return low[:k]
 
 
 def main_text(page: str | None) -> str:
@@ -222,9 +241,11 @@ def main_text(page: str | None) -> str:
         return ""
     parts: dict[int, list[str]] = {}
     links: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-    inside_main = any(s.split(".")[0] in MAIN_TAGS for s in root)
+    inside_main = any(_tag(s) in MAIN_TAGS for s in root)
+    beside = bool(root) and _tag(root[-1]) in MAIN_TAGS
     for n in found:
-        if n.bad or n.path[: len(root)] != root:
+        at = n.path[: len(root)]
+        if n.bad or (at != root and not (beside and len(at) == len(root) and at[:-1] == root[:-1] and _tag(at[-1]) in MAIN_TAGS)):
             continue
         parts.setdefault(n.block, []).append(n.text)
         size = len(n.text.strip())
