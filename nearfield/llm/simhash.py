@@ -64,17 +64,24 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n).view(">i8")[0])
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id and fp (LONG) of every row."""
-    light = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+def digest(text_col: str) -> Column:
+    """MD5 of a text, 16 bytes; of an empty one for null."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+
+
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
+    """id and fp (LONG) of every row, and digest of its text where asked for."""
+    more = [digest(text_col).alias("digest")] if digests else []
+    light = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), *more)
     id_type = light.schema["id"].dataType.simpleString()
+    names = ["id", "fp", "digest"] if digests else ["id", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names=names)
 
-    return light.mapInArrow(run, f"id {id_type}, fp long")
+    return light.mapInArrow(run, f"id {id_type}, fp long" + (", digest binary" if digests else ""))
 
 
 def _within(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, radius: int, out: list) -> None:
@@ -231,15 +238,20 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """id_col, fp (LONG) and component_id (smallest id reachable by links) of every row."""
-    rows = persist_table(with_fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
+def _grouped(rows: DataFrame, radius: int) -> DataFrame:
+    """rows with root (the smallest fingerprint of the component) and component_id (its smallest id)."""
     fps = persist_table(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
     member = components(shard_edges(fps.select("fp"), radius)).withColumnRenamed("vertex", "fp")
     rooted = fps.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    by_fp = rooted.select("fp", "root").join(lowest, "root").select("fp", "root", "component_id")
+    return rows.join(by_fp, "fp", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """id_col, fp (LONG) and component_id (smallest id reachable by links) of every row."""
+    rows = persist_table(with_fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
+    return _grouped(rows, radius).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:
@@ -247,15 +259,20 @@ def hex_of(fp: Column) -> Column:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs with the smallest id of each group of near-duplicates; one of them where ids repeat.
+    """One row of docs for each group of near-duplicates: of its smallest id, and of the smallest digest of the text where ids repeat.
 
-    Rows with a null id have no smallest id to compare and are kept only where a whole group has none.
+    Rows with a null id have no smallest id to compare and are kept only where a whole group has none. Groups
+    are told apart by their links, so different texts with one id, or with none, each keep a row.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__keep_id")).agg(F.count("*").alias("__rows"))
+    rows = persist_table(with_fingerprints(docs, id_col, text_col, shingle, digests=True), "simhash-fingerprints")
+    # id and digest tell the text, and so the group; a count of rows for each, then one of them for each group
+    first = _grouped(rows, radius).where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "id", "digest").agg(F.count("*").alias("rows"))
+    keep = first.groupBy("root").agg(F.min(F.struct("digest", "id", "rows")).alias("kept"))
+    keep = keep.select(F.col("kept.id").alias("__keep_id"), F.col("kept.digest").alias("__keep_digest"), F.col("kept.rows").alias("__rows"))
     keep = persist_table(keep, "simhash-keep")
-    # as many ids as documents that stay: they are never broadcast, however few they are here
-    kept = docs.join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep_id")))
+    # as many as documents that stay: they are never broadcast, however few they are here
+    kept = docs.withColumn("__digest", digest(text_col)).join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__digest") == F.col("__keep_digest")))
     if keep.where("__rows > 1").isEmpty():
         return kept.select(*docs.columns)
-    return kept.where("__rows = 1").select(*docs.columns).unionByName(kept.where("__rows > 1").select(*docs.columns).dropDuplicates([id_col]))
+    once, more = kept.where("__rows = 1"), kept.where("__rows > 1").dropDuplicates(["__keep_id", "__keep_digest"])
+    return once.select(*docs.columns).unionByName(more.select(*docs.columns))

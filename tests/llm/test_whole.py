@@ -2,7 +2,7 @@
 
 import pytest
 
-from nearfield.llm import htmltext
+from nearfield.llm import htmltext, simhash
 
 BODY = "".join(f"<p>Long paragraph number {k}, with commas, with words, and with a full stop.</p>" for k in range(12))
 PLAIN = " ".join(f"Long paragraph number {k}, with commas, with words, and with a full stop." for k in range(12))
@@ -21,3 +21,10 @@ PLAIN = " ".join(f"Long paragraph number {k}, with commas, with words, and with
 )
 def test_only_boilerplate_is_dropped(page, text):
     assert htmltext.main_text(page) == text
+
+
+def test_each_group_of_copies_keeps_a_row(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(8)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (9, texts[4]), (3, texts[5]), (None, texts[5]), (7, texts[5]), (None, None), (None, "")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(0, texts[0]), (0, texts[1]), (0, texts[2]), (7, texts[3]), (7, texts[4]), (3, texts[5]), (0, "")])
