@@ -73,10 +73,10 @@ BENCH_SETS = DOC_SETS.replace("d AS (SELECT doc_id AS id", "b AS (SELECT item_id
 JACCARD = "CASE WHEN len(list_distinct(list_concat(a.tokens, c.tokens))) = 0 THEN 0.0 ELSE len(list_intersect(a.tokens, c.tokens))::DOUBLE / len(list_distinct(list_concat(a.tokens, c.tokens))) END"
 
 
-def knn_sql(similar: str, where: str = "", exclude_self: bool = False) -> str:
+def knn_sql(similar: str, where: str = "", exclude_self: bool = False, asked: str = f"< {ASKED}") -> str:
     return f"""
 WITH s AS (SELECT q.vec_id AS query_id, p.vec_id AS id, {similar} AS s FROM embeddings q, embeddings p
-    WHERE q.vec_id < {ASKED} {"AND q.vec_id <> p.vec_id" if exclude_self else ""} {where}),
+    WHERE q.vec_id {asked} {"AND q.vec_id <> p.vec_id" if exclude_self else ""} {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id DESC) AS rank FROM s WHERE s > 0)
 SELECT query_id, id, round(s, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= {K}"""
 
@@ -468,3 +468,12 @@ for f in (knn_cosine_bf, knn_l2_bf, knn_from_index_bf, prefix_candidates, sketch
 @query("SELECT count(*)::BIGINT AS queries, count(*)::BIGINT AS finished FROM embeddings WHERE vec_id % 20 = 0")
 def search_metrics_every_20th(spark, sf_dir):
     return search_metrics(spark, sf_dir, EVERY_20TH)
+
+
+@query(knn_sql(COSINE, asked="% 20 = 0"))
+def topk_merge_dedup_every_20th(spark, sf_dir):
+    """The k best of two overlapping candidate lists that hold every point between them."""
+    v, q = vectors(spark, sf_dir), asked_vectors(spark, sf_dir, EVERY_20TH)
+    parts = [exact.knn(v.where(w), q, K).drop("rank") for w in ("id % 3 <> 0", "id % 3 <> 1")]
+    merged = parts[0].unionByName(parts[1]).dropDuplicates(["query_id", "id"])
+    return rounded(exact.top_k(merged, K))

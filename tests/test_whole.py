@@ -25,3 +25,12 @@ def test_metrics_count_the_table(spark, sf_dir):
     asked = catalog.asked_vectors(spark, sf_dir, catalog.EVERY_20TH).count()
     found = catalog.QUERIES["search_metrics_every_20th"](spark, sf_dir).first()
     assert asked > catalog.ASKED and (found.queries, found.finished) == (asked, asked)
+
+
+def test_merged_lists_hold_every_point(spark, few):
+    path, _ = few
+    pairs = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    points = catalog.vectors(spark, path)
+    found = pairs(catalog.QUERIES["topk_merge_dedup_every_20th"](spark, path))
+    assert found == pairs(catalog.exact.knn(points, catalog.asked_vectors(spark, path, catalog.EVERY_20TH), catalog.K))
+    assert any(i % 6 == 3 for _, i in found)
