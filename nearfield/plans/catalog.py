@@ -477,3 +477,20 @@ def topk_merge_dedup_every_20th(spark, sf_dir):
     parts = [exact.knn(v.where(w), q, K).drop("rank") for w in ("id % 3 <> 0", "id % 3 <> 1")]
     merged = parts[0].unionByName(parts[1]).dropDuplicates(["query_id", "id"])
     return rounded(exact.top_k(merged, K))
+
+
+# whole vectors, and lookups of the whole query set
+
+
+@query(ORACLES["get_points"].replace("vec_id IN (1, 3, 8)", "vec_id % 20 = 0"))
+def get_points_every_20th(spark, sf_dir):
+    v = vectors(spark, sf_dir).where(EVERY_20TH).select("id", formats.dequantise(formats.quantise(F.col("features"))).alias("v"))
+    return v.select("id", F.posexplode("v").alias("dim", "value")).select("id", F.col("dim").cast("long").alias("dim"), "value")
+
+
+@query(
+    f"WITH c AS (SELECT vec_id AS id, g.m AS dim, least(trunc(embedding[g.m + 1]::DOUBLE * 32768), 32767)::BIGINT AS code FROM embeddings, generate_series(0, {DIMENSIONS - 1}) g(m)) SELECT id, a::INT AS axis, sum(code * (1 - 2 * (bit_count((dim & a)::BIGINT) % 2)))::BIGINT AS total FROM c, generate_series(0, {DIMENSIONS - 1}) x(a) GROUP BY ALL"
+)
+def hadamard_transform_whole(spark, sf_dir):
+    """The transform of all coordinates."""
+    return relational.hadamard_rows(relational.coordinates(vectors(spark, sf_dir), "id", "features"), DIMENSIONS)

@@ -34,3 +34,12 @@ def test_merged_lists_hold_every_point(spark, few):
     found = pairs(catalog.QUERIES["topk_merge_dedup_every_20th"](spark, path))
     assert found == pairs(catalog.exact.knn(points, catalog.asked_vectors(spark, path, catalog.EVERY_20TH), catalog.K))
     assert any(i % 6 == 3 for _, i in found)
+
+
+def test_whole_vectors_are_transformed_and_read(spark, few):
+    path, ids = few
+    rows = catalog.QUERIES["hadamard_transform_whole"](spark, path).collect()
+    assert len(rows) == 64 * len(ids)
+    first = {r.id: sum(int(x * 32768) for x in r.features) for r in catalog.vectors(spark, path).collect()}
+    assert {r.id: r.total for r in rows if r.axis == 0} == first
+    assert {r.id for r in catalog.QUERIES["get_points_every_20th"](spark, path).collect()} == {i for i in ids if i % 20 == 0}
