@@ -64,30 +64,16 @@ def independent_failure(c: Collision, d: int, done: int, tables: int, s: float,
     return (1 - c(d, s)) ** done * ((1 - c(d + 1, s)) ** rest if rest else 1.0)
 
 
-def independent_failure_column(c: ColumnCollision, d: int, tables: int, s: Column) -> Column:
-    return F.pow(1 - c(d, s), F.lit(tables))
-
-
-def tensor_failure(c: Collision, d: int, done: int, tables: int, s: float) -> float:
-    """The same where a table pairs one of sqrt(tables) left halves with one of as many right halves."""
-    left, right = (d + 1) // 2, d - (d + 1) // 2
-    deeper_left, deeper_right = (d + 2) // 2, d + 1 - (d + 2) // 2
-    side, every = math.isqrt(done), math.isqrt(tables)
-    rest = every - side
-
-    def some(p: float, n: int) -> float:
-        return 1 - (1 - p) ** n
-
-    return (
-        (1 - some(c(left, s), side) * some(c(right, s), side))
-        * (1 - some(c(deeper_left, s), side) * some(c(deeper_right, s), side))
-        * (1 - some(c(deeper_left, s), rest) * some(c(deeper_right, s), side))
-        * (1 - some(c(deeper_left, s), rest) * some(c(deeper_right, s), rest))
-    )
+def independent_failure_column(c: ColumnCollision, d: int, tables: int, s: Column, done: int | None = None, deepest: int = 24) -> Column:
+    """The same as a column; done is tables if None."""
+    done = tables if done is None else done
+    rest = 0 if d >= deepest else tables - done
+    missed = F.pow(1 - c(d, s), F.lit(done))
+    return missed * F.pow(1 - c(d + 1, s), F.lit(rest)) if rest else missed
 
 
 def tensor_failure_column(c: ColumnCollision, d: int, tables: int, s: Column) -> Column:
-    """With all tables looked at to depth d."""
+    """With all tables looked at to depth d, where a table pairs one of sqrt(tables) left halves with one of as many right halves."""
     side = math.isqrt(tables)
     left, right = (d + 1) // 2, d - (d + 1) // 2
 

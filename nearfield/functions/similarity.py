@@ -40,3 +40,4 @@ def jaccard(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a, b)).cast("double")
     union = F.size(a) + F.size(b) - common
     return F.when(union > 0, common / union).otherwise(0.0)
+

@@ -1,16 +1,28 @@
-"""Approximate search and closest pairs with a recall guarantee: prefixes are shortened round by round.
-
-A round joins the tables on prefixes of d bits, drops candidates whose sketches differ too much, computes
-the similarity of new candidates only, and keeps the k best of each query. A query is finished when the
-chance that a point as similar as its kth best was missed is at most 1 - recall. What is left when prefixes
-get so short that the candidates would outnumber all comparisons is searched exactly, as is everything in
-a collection of fewer than SMALL points. Rounds end in tables in the shared folder.
+"""Approximate search and closest pairs with a recall guarantee, by prefixes as long as the answers allow.
+
+A search looks at the tables twice at most. The first pass takes for each query the points that share START
+bits or more with it in some table, a few for each table, and ranks them; the similarity of the kth best is a
+lower bound of what the kth neighbour's will be. From it follow the longest prefix, and the fewest tables at
+that length, for which the chance to have missed a point as similar is at most 1 - recall. Queries for which the
+first pass was that deep are finished; for the others a second pass looks exactly that deep, and they are
+finished too, as a second look can only raise the bound. Queries that would meet more than WORTH of all points are
+searched exactly instead, as is everything in a collection of fewer than SMALL points.
+
+Filters: "none" compares every candidate, at whole depths; "simple" drops candidates whose sketches differ by
+more bits than the bound allows and looks at whole depths; "default" does so too and stops inside a depth, with the
+rest of the tables looked at one bit deeper. The guarantee is that of "none" with independent or tensored
+tables; sketches and the pool lower it slightly.
+
+Closest pairs are found likewise: buckets of the tables are compared as blocks, each task keeping its k best
+pairs, first at a depth of a few points in each bucket and then as deep as the kth best pair asks for.
+Passes end in tables in the shared folder.
 """
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,128 +32,157 @@ from nearfield.session import persist_table
 
 from . import exact
 from .hash_sources import DEPTH, Source
-from .tables import SKETCHES, prefix, prefix_candidates, sketch_passes
+from .tables import DIRECTORY_BITS, SKETCHES, cells_of, coarser, prefix, ranged_candidates, sketch_passes
 
 FILTERS = ("default", "none", "simple")
 #: Fewer points than these are searched exactly.
 SMALL = 100
-#: Depths of the rounds. Skipping depths costs candidates, never recall.
-DEPTHS = (24, 18, 14, 11, 8, 5)
+#: Points that a bucket of the first pass holds on average.
+BUCKET = 16
 #: Share of all comparisons beyond which candidates are not worth gathering.
 WORTH = 0.25
+#: Steps of the grid of similarities.
+STEPS = 1000
+
+
+def similarity_column(metric: str, stored: str = "double") -> Callable:
+    """Of points as the index stores them: sets without repetitions, vectors of length 1 or 0, or their 16-bit codes."""
+    return similarity.jaccard if metric == "jaccard" else similarity.cosine01 if stored == "q15" else similarity.unit_cosine01
 
 
-def similarity_column(metric: str) -> Callable:
-    """Of points as the index stores them: sets without repetitions, vectors of length 1 or 0."""
-    return similarity.jaccard if metric == "jaccard" else similarity.unit_cosine01
+def start_depth(n: int) -> int:
+    """Bits at which buckets hold BUCKET points on average."""
+    return max(1, min(DEPTH, math.ceil(math.log2(max(2, n / BUCKET)))))
 
 
-def failure_table(source: Source, depth: int, steps: int = 1000) -> list[float]:
-    """Failure probabilities on a grid of similarities; a value between two is taken at the lower, where it is larger."""
-    return [source.failure(depth, i / steps) for i in range(steps + 1)]
+def depth_needed(source: Source, s: float, recall: float, partial: bool = False) -> tuple[int, int]:
+    """The greatest depth, and at it the fewest tables (all unless partial), that miss a point of similarity s with chance 1 - recall at most.
+
+    (0, 0) where no depth does. Tables beyond the fewest are looked at one bit deeper.
+    """
+    most = 1 - recall
+    low, high = 0, DEPTH + 1  # the failure grows with the depth
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if source.failure(middle, s) <= most else (low, middle)
+    if not low:
+        return 0, 0
+    few, enough = 0, source.tables
+    while partial and enough - few > 1:
+        middle = (few + enough) // 2
+        few, enough = (few, middle) if source.failure(low, s, middle) <= most else (middle, enough)
+    return low, enough
+
 
+def _by_similarity(values: list[int], s) -> object:
+    """The value of the grid point below s."""
+    return F.element_at(F.expr("array(" + ",".join(map(str, values)) + ")"), F.floor(s * STEPS).cast("int") + 1)
 
-def candidates_at(tables: DataFrame, wanted: DataFrame, depths: Sequence[int]) -> dict[int, int]:
-    """For each depth the rows that the prefix join of wanted (table_id, hash) with the tables would make, in one pass."""
-    each = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), prefix(F.col("hash"), d).alias("prefix")) for d in depths])).alias("at")
-    count = lambda df, name: df.select("table_id", each).groupBy("table_id", "at").agg(F.count("*").alias(name))
-    rows = count(tables, "size").join(count(wanted, "asked"), ["table_id", "at"]).groupBy("at.depth").agg(F.sum(F.col("size") * F.col("asked"))).collect()
-    return dict.fromkeys(depths, 0) | {r[0]: r[1] for r in rows}
+
+def _limits(collision) -> list[int]:
+    """Differing sketch bits allowed on the grid of similarities."""
+    return [probability.sketch_threshold(collision, i / STEPS) for i in range(STEPS + 1)]
 
 
 def search(
-    points: DataFrame, tables: DataFrame, queries: DataFrame, source: Source, sketch_collision, k: int, recall: float, metric: str, column: str, filter_type: str = "default", exclude_self: bool = False, depths: Sequence[int] = DEPTHS, trace: list[dict] | None = None
+    points: DataFrame, tables: DataFrame, sizes: DataFrame, n: int, queries: DataFrame, source: Source, sketch_collision, k: int, recall: float, metric: str, column: str, filter_type: str = "default", exclude_self: bool = False, trace: list[dict] | None = None, stored: str = "double"
 ) -> DataFrame:
-    """query_id, id, similarity, rank. trace gets a row for each round: depth, candidates, queries, finished, seconds.
+    """query_id, id, similarity, rank. trace gets a row for each pass: depth, candidates, queries, finished, seconds.
 
-    points: id, column, sketches; tables: table_id, hash, id; queries: query_id, column, hashes, sketches.
+    points: id, column, sketches, n of them; tables: table_id, hash, id; sizes: the tables' directory; queries:
+    query_id, column, hashes, sketches.
     """
     if filter_type not in FILTERS:
         raise ValueError(f"unknown filter type {filter_type!r}")
     if not 0 <= recall <= 1:
         raise ValueError("recall must be between 0 and 1")
     spark = points.sparkSession
-    n = points.count()
     if k <= 0:
         return spark.createDataFrame([], "query_id long, id long, similarity double, rank int")
     if n < SMALL or recall >= 1:
         return exact.knn(points, queries, k, metric, column, exclude_self)
+    trace = [] if trace is None else trace
     queries = persist_table(queries.select("query_id", column, "hashes", "sketches"), "search-queries")
     asked = queries.count()
-    active = queries.select("query_id", F.lit(0.0).alias("kth"))
-    top: DataFrame | None = None
-    done: list[DataFrame] = []
-    before = asked
-    compare = similarity_column(metric)
-    wanted = queries.select(F.posexplode("hashes").alias("table_id", "hash"))
-    work = candidates_at(tables, wanted, depths)
-    for depth in depths:
-        if work[depth] > WORTH * asked * n:
-            break
-        if work[depth] < asked * (k + source.tables):
-            # too few to finish the queries, even if each meets itself in all tables; a shorter prefix holds these candidates too
-            continue
-        began = time.perf_counter()
-        hashes = queries.join(active, "query_id").select("query_id", "kth", "sketches", F.posexplode("hashes").alias("table_id", "hash"))
-        found = prefix_candidates(hashes, tables, depth)
-        if filter_type != "none":
+    compare = similarity_column(metric, stored)
+    start = start_depth(n)
+    bits = min(start, DIRECTORY_BITS)
+    limits = _limits(sketch_collision)
+
+    def reached(rows: DataFrame) -> DataFrame:
+        """query_id and the points that its cells hold, from the directory; more than its prefixes where these are longer than the cells."""
+        return cells_of(rows, bits).join(coarser(sizes, bits), ["table_id", "cell"]).groupBy("query_id").agg(F.sum("size").alias("work"))
+
+    def look(rows: DataFrame, before: DataFrame | None) -> DataFrame:
+        """The k best of the points that rows (query_id, table_id, hash, depth, kth) reach and of those found before."""
+        found = ranged_candidates(rows.select("query_id", "table_id", "hash", "depth"), tables, bits)
+        if filter_type != "none" and before is not None:  # without a bound every sketch passes
             slot = F.pmod(F.col("table_id"), F.lit(SKETCHES)) + 1
-            limit = _threshold(sketch_collision, F.col("kth"))
-            own = hashes.select("query_id", "table_id", limit.alias("limit"), F.element_at("sketches", slot).alias("asked_sketch"))
-            theirs = points.select("id", "sketches")
-            found = found.join(own, ["query_id", "table_id"]).join(theirs, "id").where(sketch_passes(F.element_at("sketches", slot), F.col("asked_sketch"), F.col("limit")))
+            own = rows.select("query_id", "table_id", "kth").join(queries.select("query_id", F.col("sketches").alias("asked_sketches")), "query_id")
+            own = own.select("query_id", "table_id", _by_similarity(limits, F.col("kth")).alias("limit"), F.element_at("asked_sketches", slot).alias("asked_sketch"))
+            found = found.join(own, ["query_id", "table_id"]).join(points.select("id", "sketches"), "id").where(sketch_passes(F.element_at("sketches", slot), F.col("asked_sketch"), F.col("limit")))
         found = found.select("query_id", "id").distinct()
         if exclude_self:
             found = found.where("query_id <> id")
-        if top is not None:
-            found = found.join(top.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        there = points.select("id", F.col(column).alias("__p"))
-        scored = found.join(there, "id").join(queries.select("query_id", F.col(column).alias("__q")), "query_id").select("query_id", "id", compare(F.col("__p"), F.col("__q")).alias("similarity")).where("similarity > 0")
-        if top is not None:
-            scored = scored.unionByName(top.select("query_id", "id", "similarity"))
-        top = persist_table(exact.top_k(scored, k), "search-top")
-        kth = top.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(0.0).alias("kth"))
-        risk = _constants(failure_table(source, depth))
-        state = active.drop("kth").join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(0.0)))
-        state = persist_table(state.withColumn("finished", F.element_at(risk, F.floor(F.col("kth") * 1000).cast("int") + 1) <= 1 - recall), "search-state")
-        finished = state.where("finished").select("query_id")
-        done.append(top.join(finished, "query_id", "left_semi").select("query_id", "id", "similarity", "rank"))
-        active = state.where("not finished").select("query_id", "kth")
-        top = top.join(active, "query_id", "left_semi").drop("rank")
-        left = active.count()
-        if trace is not None:
-            trace.append({"depth": depth, "candidates": int(work[depth]), "queries": before, "finished": before - left, "seconds": time.perf_counter() - began})
-        before = left
-        if not left:
-            return _all(done)
-    rest = queries.join(active, "query_id", "left_semi")
-    began = time.perf_counter()
-    done.append(exact.knn(points, rest, k, metric, column, exclude_self).select("query_id", "id", "similarity", "rank"))
-    if trace is not None:
-        trace.append({"depth": 0, "candidates": before * n, "queries": before, "finished": before, "seconds": time.perf_counter() - began})
-    return _all(done)
+        if before is not None:
+            found = found.join(before.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        there, here = points.select("id", F.col(column).alias("__p")), queries.select("query_id", F.col(column).alias("__q"))
+        scored = found.join(there, "id").join(here, "query_id").select("query_id", "id", compare(F.col("__p"), F.col("__q")).alias("similarity")).where("similarity > 0")
+        if before is not None:
+            scored = scored.unionByName(before.select("query_id", "id", "similarity"))
+        return persist_table(exact.top_k(scored, k), "search-top")
 
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    began = time.perf_counter()
+    every = queries.select("query_id", F.posexplode("hashes").alias("table_id", "hash"))
+    # in cells that many points share the first pass looks at whole hashes only; the second pass sees to the rest
+    first = every.withColumn("depth", F.lit(start)).withColumn("cell", prefix(F.col("hash"), bits)).join(coarser(sizes, bits), ["table_id", "cell"])
+    crowded = F.col("size") > F.lit(64 * BUCKET * max(1, (n >> bits) // BUCKET))
+    first = persist_table(first.select("query_id", "table_id", "hash", F.when(crowded, DEPTH).otherwise(start).alias("depth"), F.lit(0.0).alias("kth"), "size"), "search-first")
+    top = look(first, None)
+    plan = [depth_needed(source, i / STEPS, recall, filter_type == "default") for i in range(STEPS + 1)]
+    # where even uniform tables would hold too many points, the rest is searched exactly
+    plan = [(d, j) if d and j * 2.0**-d + (source.tables - j) * 2.0 ** -(d + 1) <= WORTH else (0, 0) for d, j in plan]
+    kth = top.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(0.0).alias("kth"))
+    hot = first.groupBy("query_id").agg(F.max(F.col("depth") > start).alias("hot"), F.sum("size").alias("work"))
+    state = queries.select("query_id").join(kth, "query_id", "left").join(hot, "query_id", "left")
+    state = state.select("query_id", F.coalesce("kth", F.lit(0.0)).alias("kth"), F.coalesce("hot", F.lit(False)).alias("hot"), F.coalesce("work", F.lit(0)).alias("work"))
+    state = state.withColumn("depth", _by_similarity([d for d, _ in plan], F.col("kth"))).withColumn("tables", _by_similarity([j for _, j in plan], F.col("kth")))
+    done = (F.col("depth") >= start) & ~F.col("hot")
+    state = persist_table(state.withColumn("done", done), "search-state")
+    finished, work = state.agg(F.count(F.when(F.col("done"), 1)), F.sum("work")).first()
+    trace.append({"depth": start, "candidates": work or 0, "queries": asked, "finished": finished, "seconds": time.perf_counter() - began})
+    answers = [top.join(state.where("done").select("query_id"), "query_id", "left_semi")]
+    left = asked - finished
+    if left:
+        began = time.perf_counter()
+        rows = every.join(state.where("not done and depth > 0").select("query_id", "kth", F.col("depth").alias("need"), "tables", "hot"), "query_id")
+        rows = rows.withColumn("depth", F.when(F.col("table_id") < F.col("tables"), F.col("need")).otherwise(F.least(F.lit(DEPTH), F.col("need") + 1)))
+        # at the deepest level tables beyond the fewest are left out; so are those that the first pass has seen as deep
+        rows = rows.where((F.col("table_id") < F.col("tables")) | (F.col("need") < DEPTH)).where((F.col("depth") < start) | F.col("hot"))
+        work = reached(rows.select("query_id", "table_id", "hash", "depth"))
+        worth = persist_table(work.where(F.col("work") <= WORTH * n), "search-worth")
+        second, work = worth.agg(F.count("*"), F.sum("work")).first()
+        if second:
+            rows = rows.join(worth.select("query_id"), "query_id", "left_semi")
+            top = look(rows, top.join(worth.select("query_id"), "query_id", "left_semi"))
+            answers.append(top)
+            depth = state.join(worth, "query_id").agg(F.min("depth")).first()[0]
+            trace.append({"depth": depth, "candidates": work, "queries": left, "finished": second, "seconds": time.perf_counter() - began})
+            left -= second
+        if left:
+            began = time.perf_counter()
+            rest = queries.join(state.where("not done").select("query_id"), "query_id", "left_semi").join(worth.select("query_id"), "query_id", "left_anti")
+            answers.append(exact.knn(points, rest, k, metric, column, exclude_self))
+            trace.append({"depth": 0, "candidates": left * n, "queries": left, "finished": left, "seconds": time.perf_counter() - began})
+    out = None
+    for part in answers:
+        part = part.select("query_id", "id", "similarity", "rank")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def _constants(values: list):
-    """An array of constants, as one expression."""
-    return F.expr("array(" + ",".join(f"{v!r}D" if isinstance(v, float) else repr(v) for v in values) + ")")
-
-
-def _threshold(collision, kth):
-    """Differing sketch bits allowed at the kth similarity, from a grid of similarities."""
-    grid = _constants([probability.sketch_threshold(collision, i / 1000) for i in range(1001)])
-    return F.element_at(grid, F.floor(kth * 1000).cast("int") + 1)
-
-
-def closest_pairs(points: DataFrame, tables: DataFrame, source: Source, k: int, recall: float, metric: str, column: str, depths: Sequence[int] = DEPTHS) -> DataFrame:
-    """id_a < id_b, similarity, rank of the k closest pairs.
+def closest_pairs(points: DataFrame, tables: DataFrame, source: Source, k: int, recall: float, metric: str, column: str, trace: list[dict] | None = None) -> DataFrame:
+    """id_a < id_b, similarity, rank of the k closest pairs. trace gets a row for each pass, with pairs compared as its candidates.
 
     Of equal points only the k + 1 of highest id take part, so copies do not multiply pairs.
     """
@@ -150,23 +191,49 @@ def closest_pairs(points: DataFrame, tables: DataFrame, source: Source, k: int,
     n = points.count()
     if k <= 0 or n < SMALL or recall >= 1:
         return exact.closest_pairs(points, k, metric, column)
-    some = persist_table(exact.highest_of_equal(points.select("id", F.col(column).alias("__p")), k, "__p"), "pairs-points")
+    trace = [] if trace is None else trace
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    some = persist_table(exact.highest_of_equal(points.select("id", F.col(column).alias("point")), k, "point"), "pairs-points")
+    _, n, size = exact.measured(some, "point", metric)
     rows = persist_table(tables.join(some.select("id"), "id", "left_semi"), "pairs-tables")
-    compare = similarity_column(metric)
-    top: DataFrame | None = None
-    work, own = candidates_at(rows, rows, depths), rows.count()  # each pair twice, and each point with itself
-    for depth in depths:
-        if work[depth] / 2 > WORTH * n * (n - 1) / 2:
+    block = exact.pair_block(n, size, cores)
+
+    def pairs_at(depth: int) -> int:
+        sizes = rows.groupBy("table_id", prefix(F.col("hash"), depth).alias("p")).agg(F.count("*").cast("double").alias("size"))
+        return int(sizes.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0] or 0)
+
+    def look(depth: int) -> DataFrame:
+        """The best pairs of all buckets; buckets above a block are dealt into parts, and each pair of parts is compared."""
+        keyed = rows.select("table_id", prefix(F.col("hash"), depth).alias("p"), "id")
+        sizes = keyed.groupBy("table_id", "p").agg(F.count("*").alias("size")).where("size > 1")
+        dealt = keyed.join(sizes, ["table_id", "p"]).withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        tasks = dealt.join(some, "id").select(
+            F.xxhash64("table_id", "p", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "point"
+        )
+        found = tasks.repartition("pair").sortWithinPartitions("pair", "side", "id").mapInArrow(exact._task_pairs(metric, k), "id_a long, id_b long, similarity double")
+        return persist_table(exact.best_pairs(found, k), "pairs-top")
+
+    depth, most = start_depth(n), WORTH * n * (n - 1) / 2
+    # buckets may be uneven: the first pass goes as deep as it takes for points to meet about BUCKET others in a table
+    while depth < DEPTH and pairs_at(depth) > min(most, 2.0 * BUCKET * n * source.tables):
+        depth = min(DEPTH, depth + 2)
+    seen = None
+    while True:
+        began = time.perf_counter()
+        work = pairs_at(depth)
+        if work > most:
             break
-        if (work[depth] - own) / 2 < k:
-            continue
-        other = rows.select(F.col("table_id").alias("t"), F.col("hash").alias("h"), F.col("id").alias("id_b"))
-        pairs = rows.withColumnRenamed("id", "id_a").join(other, (F.col("table_id") == F.col("t")) & (prefix(F.col("hash"), depth) == prefix(F.col("h"), depth)) & (F.col("id_a") < F.col("id_b")))
-        pairs = pairs.select("id_a", "id_b").distinct()
-        scored = pairs.join(some.select(F.col("id").alias("id_a"), F.col("__p").alias("__a")), "id_a").join(some.select(F.col("id").alias("id_b"), F.col("__p").alias("__b")), "id_b")
-        scored = scored.select("id_a", "id_b", compare(F.col("__a"), F.col("__b")).alias("similarity")).where("similarity > 0")
-        top = persist_table(exact.best_pairs(scored, k), "pairs-top")
+        top = look(depth)
         count, kth = top.agg(F.count("*"), F.min("similarity")).first()
-        if source.failure(depth, kth if count >= k else 0.0) <= 1 - recall:
+        need = depth_needed(source, kth if count >= k else 0.0, recall)[0]
+        trace.append({"depth": depth, "candidates": work, "queries": 1, "finished": int(need >= depth), "seconds": time.perf_counter() - began})
+        if need >= depth:
             return top
-    return exact.closest_pairs(points, k, metric, column)
+        if need == seen or source.tables * 2.0**-need > WORTH:
+            break
+        depth = seen = need
+    began = time.perf_counter()
+    out = exact.closest_pairs(points, k, metric, column)
+    trace.append({"depth": 0, "candidates": n * (n - 1) // 2, "queries": 1, "finished": 1, "seconds": time.perf_counter() - began})
+    return out

@@ -1,11 +1,15 @@
 """Exact nearest neighbours and closest pairs.
 
-Queries are a stated set: they go to the executors in blocks of bounded size and meet all points in
+Queries are a stated set: they go to the executors in blocks of bounded bytes and meet all points in
 matrix products over Arrow batches. A task keeps the k best of each query, so what is shuffled is k rows
 for each query and task. Points of similarity 0 are never results; ties go to the higher id.
 
-All-pairs search deals the points into blocks and gives each pair of blocks to a task that keeps its k best
-pairs; of points that are equal only the k + 1 of highest id can be in a result, and only those take part.
+All-pairs search deals the points into blocks of bounded bytes and gives each pair of blocks to a task that
+keeps its k best pairs; of points that are equal only the k + 1 of highest id can be in a result, and only
+those take part.
+
+Points that are null or have no id are left out, null tokens too; a vector with a null or of another length
+than the others is an error.
 """
 
 from __future__ import annotations
@@ -17,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in a block and bytes that a block's vectors or tokens may take.
-QUERY_BLOCK = 4_096
-#: Points in one block of an all-pairs search.
-PAIR_BLOCK = 2_048
+#: Bytes of the vectors or tokens in a block of queries, which is broadcast, and in a block of an all-pairs search.
+QUERY_BYTES = 32 << 20
+PAIR_BYTES = 16 << 20
 METRICS = ("angular", "l2", "jaccard")
 
 
@@ -28,7 +31,10 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     """Vectors of equal length as a matrix of doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten()
+    if flat.null_count or (n and len(np.unique(np.diff(column.offsets.to_numpy()))) > 1):
+        raise ValueError("vectors must be of one length and hold no nulls")
+    flat = flat.to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
@@ -79,6 +85,8 @@ class Block:
         x = matrix_of(points)
         if not x.size or not self.matrix.size:
             return np.zeros((len(points), len(self.ids)))
+        if x.shape[1] != self.matrix.shape[1]:
+            raise ValueError("vectors must be of one length and hold no nulls")
         if self.metric == "angular":
             return np.clip((unit(x) @ self.matrix.T + 1) / 2, 0, 1)
         far = (x * x).sum(axis=1)[:, None] + (self.matrix * self.matrix).sum(axis=1)[None, :] - 2 * x @ self.matrix.T
@@ -116,6 +124,17 @@ def _task_knn(block: Block, k: int, exclude_self: bool):
     return run
 
 
+def measured(points: DataFrame, column: str, metric: str) -> tuple[DataFrame, int, int]:
+    """points without nulls, their number, and their elements as 8-byte numbers; vectors are checked to be of one length."""
+    if metric == "jaccard":
+        points = points.withColumn(column, F.array_compact(column))
+    hollow = F.max(F.exists(column, lambda x: x.isNull())) if metric != "jaccard" else F.lit(False)
+    n, total, low, high, nulls = points.agg(F.count("*"), F.sum(F.size(column).cast("long")), F.min(F.size(column)), F.max(F.size(column)), hollow).first()
+    if metric != "jaccard" and (low != high or nulls):
+        raise ValueError("vectors must be of one length and hold no nulls")
+    return points, n, 8 * (total or 0)
+
+
 def top_k(rows: DataFrame, k: int, by: str = "query_id", item: str = "id") -> DataFrame:
     """The k best rows of each query with their rank from 1."""
     w = Window.partitionBy(by).orderBy(F.desc("similarity"), F.desc(item))
@@ -127,10 +146,11 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "angular",
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     spark, schema = points.sparkSession, "query_id long, id long, similarity double"
-    asked = queries.select(F.col("query_id").cast("long"), column).where(F.col(column).isNotNull())
-    n = asked.count()
     light = points.select(F.col("id").cast("long"), column).where(F.col(column).isNotNull() & F.col("id").isNotNull())
-    blocks = -(-n // QUERY_BLOCK)
+    if metric == "jaccard":
+        light = light.withColumn(column, F.array_compact(column))
+    asked, n, size = measured(queries.select(F.col("query_id").cast("long"), column).where(F.col(column).isNotNull()), column, metric)
+    blocks = max(1, -(-size // QUERY_BYTES)) if n else 0
     found = None
     for b in range(blocks if k > 0 else 0):
         some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(blocks)) == b)
@@ -183,7 +203,11 @@ def _task_pairs(metric: str, k: int):
                 row, col = np.nonzero((sims >= cut) & (sims > 0))
                 a, b, s = np.minimum(some[row], right[col]), np.maximum(some[row], right[col]), sims[row, col]
                 a, b, s = np.concatenate([held[0], a]), np.concatenate([held[1], b]), np.concatenate([held[2], s])
-                top = np.lexsort((-b, -a, -s))[:k]
+                order = np.lexsort((-b, -a, -s))[: 2 * k]
+                a, b, s = a[order], b[order], s[order]
+                # a pair may come from several groups, so once from those held and once from this one
+                _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
+                top = np.sort(first)[:k]
                 held = (a[top], b[top], s[top])
         if len(held[0]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["id_a", "id_b", "similarity"])
@@ -198,13 +222,20 @@ def highest_of_equal(points: DataFrame, k: int, column: str) -> DataFrame:
 
 
 def best_pairs(rows: DataFrame, k: int) -> DataFrame:
-    """The k best distinct pairs by similarity, then ids, all descending, with rank."""
-    top = rows.orderBy(F.desc("similarity"), F.desc("id_a"), F.desc("id_b")).limit(k)
+    """The k best distinct pairs by similarity, then ids, all descending, with rank; tasks may have found a pair several times."""
+    each = rows.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
+    top = each.orderBy(F.desc("similarity"), F.desc("id_a"), F.desc("id_b")).limit(k)
     w = Window.orderBy(F.desc("similarity"), F.desc("id_a"), F.desc("id_b"))
     return top.withColumn("rank", F.row_number().over(w))
 
 
-def closest_pairs(points: DataFrame, k: int, metric: str = "angular", column: str = "features", block: int = PAIR_BLOCK) -> DataFrame:
+def pair_block(n: int, size: int, cores: int) -> int:
+    """Points in a block: PAIR_BYTES of them, or fewer so that all cores have pairs of blocks to compare."""
+    most = max(1_024, PAIR_BYTES * n // max(1, size))
+    return max(256, min(most, -(-n // max(1, int((2 * cores) ** 0.5)))))
+
+
+def closest_pairs(points: DataFrame, k: int, metric: str = "angular", column: str = "features", block: int | None = None) -> DataFrame:
     """id_a < id_b, similarity, rank: the k most similar pairs of points (id, column)."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
@@ -212,7 +243,9 @@ def closest_pairs(points: DataFrame, k: int, metric: str = "angular", column: st
     if k <= 0:
         return spark.createDataFrame([], "id_a long, id_b long, similarity double, rank int")
     light = highest_of_equal(points.select(F.col("id").cast("long"), F.col(column).alias("point")).where("id is not null and point is not null"), k, "point")
-    blocks = max(1, -(-light.count() // block))
+    light, n, size = measured(light, "point", metric)
+    block = block or pair_block(n, size, spark.sparkContext.defaultParallelism)
+    blocks = max(1, -(-n // block))
     dealt = light.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     tasks = dealt.select(
         (F.least("own", "other") * blocks + F.greatest("own", "other")).alias("pair"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "point"

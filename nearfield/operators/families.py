@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from nearfield.functions import probability
+from nearfield.functions.numbers import Numbers, numbers
 
 
 @dataclass
@@ -29,8 +30,8 @@ class SimHash:
 
     metric = "angular"
 
-    def __init__(self, n: int, dimensions: int, rng: np.random.Generator, **_):
-        planes = rng.standard_normal((n, dimensions))
+    def __init__(self, n: int, dimensions: int, rng: Numbers | np.random.Generator, **_):
+        planes = numbers(rng).normals(n, dimensions)
         self.planes = planes / np.linalg.norm(planes, axis=1, keepdims=True)
 
     @staticmethod
@@ -80,13 +81,13 @@ class CrossPolytopeEstimate:
     """Monte-Carlo collision probabilities on a grid of similarities; P(b, s) is read at the grid point below s."""
 
     def __init__(self, dimensions: int, repetitions: int = 1000, eps: float = 5e-3, seed: int = 0):
-        rng = np.random.default_rng([seed, 77])
+        rng = Numbers(seed, 77)
         size, self.eps = 1 << probability.bits_for(dimensions), eps
         self.bits = probability.bits_for(dimensions) + 1
         alphas = np.minimum(1.0, -1 + 2 * eps * np.arange(int(round(1 / eps)) + 1))
         self.table = np.ones((self.bits + 1, len(alphas)))
         for i, alpha in enumerate(alphas):
-            z = rng.standard_normal((2, repetitions, size))
+            z = rng.normals(2, repetitions, size)
             a, b = closest_axis(z[0]), closest_axis(alpha * z[0] + np.sqrt(max(0.0, 1 - alpha * alpha)) * z[1])
             for k in range(1, self.bits + 1):
                 self.table[k, i] = (a >> (self.bits - k) == b >> (self.bits - k)).mean()
@@ -98,9 +99,9 @@ class CrossPolytopeEstimate:
 class FHTCrossPolytope(_CrossPolytopeBase):
     """The closest axis after pseudo-random rotations: sign flips and Hadamard transforms."""
 
-    def __init__(self, n: int, dimensions: int, rng: np.random.Generator, num_rotations: int = 3, **_):
+    def __init__(self, n: int, dimensions: int, rng: Numbers | np.random.Generator, num_rotations: int = 3, **_):
         self.size = 1 << probability.bits_for(dimensions)
-        self.signs = rng.choice(np.array([-1.0, 1.0]), size=(n, num_rotations, self.size))
+        self.signs = numbers(rng).signs(n, num_rotations, self.size)
 
     def hash(self, x: np.ndarray) -> np.ndarray:
         padded = np.zeros((len(x), self.size))
@@ -117,8 +118,8 @@ class FHTCrossPolytope(_CrossPolytopeBase):
 class CrossPolytope(_CrossPolytopeBase):
     """The closest axis after a multiplication with random unit rows."""
 
-    def __init__(self, n: int, dimensions: int, rng: np.random.Generator, **_):
-        rows = rng.standard_normal((n, 1 << probability.bits_for(dimensions), dimensions))
+    def __init__(self, n: int, dimensions: int, rng: Numbers | np.random.Generator, **_):
+        rows = numbers(rng).normals(n, 1 << probability.bits_for(dimensions), dimensions)
         self.rows = rows / np.linalg.norm(rows, axis=2, keepdims=True)
 
     def hash(self, x: np.ndarray) -> np.ndarray:
@@ -128,8 +129,12 @@ class CrossPolytope(_CrossPolytopeBase):
 class Tabulation:
     """64-bit hashes of 32-bit tokens: the exclusive or of one table entry for each byte."""
 
-    def __init__(self, rng: np.random.Generator):
-        self.tables = rng.integers(0, 1 << 63, size=(4, 256), dtype=np.uint64)
+    def __init__(self, tables: np.ndarray):
+        self.tables = tables
+
+    @classmethod
+    def some(cls, n: int, rng: Numbers) -> list[Tabulation]:
+        return [cls(t) for t in rng.words64(n, 4, 256)]
 
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
         t = tokens.astype(np.uint32)
@@ -144,11 +149,11 @@ class MinHash:
 
     metric = "jaccard"
 
-    def __init__(self, n: int, universe: int, rng: np.random.Generator, randomized_bits: int = 4, **_):
-        self.hashes = [Tabulation(rng) for _ in range(n)]
-        width = min(randomized_bits, self.bits(universe))
-        self.width = width
-        self.permutations = [rng.permutation(1 << width) for _ in range(n)]
+    def __init__(self, n: int, universe: int, rng: Numbers | np.random.Generator, randomized_bits: int = 4, **_):
+        rng = numbers(rng)
+        self.hashes = Tabulation.some(n, rng)
+        self.width = min(randomized_bits, probability.bits_for(max(universe, 2)))
+        self.permutations = list(rng.permutations(n, 1 << self.width))
 
     @staticmethod
     def bits(universe: int) -> int:
@@ -180,11 +185,6 @@ class MinHash1Bit(MinHash):
     def bits(universe: int) -> int:
         return 1
 
-    def __init__(self, n: int, universe: int, rng: np.random.Generator, randomized_bits: int = 4, **_):
-        self.hashes = [Tabulation(rng) for _ in range(n)]
-        self.width = min(randomized_bits, probability.bits_for(max(universe, 2)))
-        self.permutations = [rng.permutation(1 << self.width) for _ in range(n)]
-
     @staticmethod
     def collision(universe: int, **_):
         p = probability.minhash(universe)
@@ -199,6 +199,14 @@ DEFAULT_HASH = {"angular": "fht_crosspolytope", "jaccard": "minhash"}
 DEFAULT_SKETCH = {"angular": "simhash", "jaccard": "1bit_minhash"}
 
 
+def sketch_family(metric: str, name: str | None = None):
+    """The family of a sketch's bits: one whose hashes have one bit."""
+    kind = family(metric, name or DEFAULT_SKETCH.get(metric))
+    if kind.bits(2) != 1:
+        raise ValueError(f"{name!r} has no hashes of one bit")
+    return kind
+
+
 def family(metric: str, name: str | None):
     """The family of a name, checked against the metric."""
     if metric not in DEFAULT_HASH:

@@ -7,6 +7,7 @@ import math
 import numpy as np
 
 from nearfield.functions import probability
+from nearfield.functions.numbers import Numbers
 
 from .families import Sets
 
@@ -46,7 +47,7 @@ class Source:
         self.family, self.space, self.tables, self.depth, self.args = family, space, tables, depth, args or {}
         self.bits = family.bits(space)
         self.each = -(-depth // self.bits)
-        self.rng = np.random.default_rng([seed, 1])
+        self.rng = Numbers(seed, 1)
         self.collision = probability.concatenated(family.collision(space, seed=seed, **self.args), self.bits)
 
     def __getstate__(self) -> dict:
@@ -59,9 +60,9 @@ class Source:
     def hash(self, batch: np.ndarray | Sets) -> np.ndarray:
         raise NotImplementedError
 
-    def failure(self, depth: int, s: float) -> float:
-        """Chance to miss a point of similarity s with all tables looked at to depth."""
-        return probability.independent_failure(self.collision, depth, self.tables, self.tables, s, self.depth)
+    def failure(self, depth: int, s: float, done: int | None = None) -> float:
+        """Chance to miss a point of similarity s with done tables looked at to depth (all if None), the others one bit deeper."""
+        return probability.independent_failure(self.collision, depth, self.tables if done is None else done, self.tables, s, self.depth)
 
     @classmethod
     def function_count(cls, family, space: int, tables: int, depth: int = DEPTH, **_) -> int:
@@ -96,7 +97,7 @@ class Pool(Source):
         if n < 1:
             raise ValueError("the pool holds no function")
         self.made = self.functions(n)
-        self.drawn = self.rng.integers(0, n, size=(self.tables, self.each))
+        self.drawn = self.rng.below(n, self.tables, self.each)
 
     @classmethod
     def function_count(cls, family, space, tables, depth=DEPTH, pool_size=3000, **_):
@@ -129,11 +130,18 @@ class Tensor(Source):
         both = left[:, self.pairs[:, 0]] << 1 | right[:, self.pairs[:, 1]]
         return both >> (2 * self.half - self.depth)
 
-    def failure(self, depth: int, s: float) -> float:
-        side = math.isqrt(self.tables)
-        left = (depth + 1) // 2
-        some = lambda p: 1 - (1 - p) ** side
-        return 1 - some(self.collision(left, s)) * some(self.collision(depth - left, s))
+    def failure(self, depth: int, s: float, done: int | None = None) -> float:
+        """At most: a point is found if a pair of halves meets in the square of done tables, or one bit deeper among all."""
+
+        def missed(d: int, side: int) -> float:
+            some = lambda bits: 1 - (1 - self.collision(bits, s)) ** side
+            return 1 - some((d + 1) // 2) * some(d // 2)
+
+        whole = math.isqrt(self.tables)
+        if done is None or done >= self.tables:
+            return missed(depth, whole)
+        deeper = 1.0 if depth >= self.depth else missed(depth + 1, whole)
+        return min(deeper, missed(depth, math.isqrt(done)))
 
 
 SOURCES = {c.name: c for c in (Independent, Pool, Tensor)}

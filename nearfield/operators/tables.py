@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.functions.numbers import Numbers
+
 from .exact import matrix_of, tokens_of, unit
 from .families import Sets
 from .hash_sources import DEPTH, Source
@@ -24,7 +26,7 @@ class Hasher:
     def __init__(self, source: Source, sketch_family, space: int, seed: int, sketches: int = SKETCHES):
         self.source, self.metric = source, source.family.metric
         self.sketches = sketches
-        self.sketch = sketch_family(sketches * SKETCH_BITS, space, np.random.default_rng([seed, 2])) if sketches else None
+        self.sketch = sketch_family(sketches * SKETCH_BITS, space, Numbers(seed, 2)) if sketches else None
 
     def batch(self, points: pa.Array) -> np.ndarray | Sets:
         return Sets(*tokens_of(points)) if self.metric == "jaccard" else unit(matrix_of(points))
@@ -68,6 +70,38 @@ def prefix_candidates(queries: DataFrame, tables: DataFrame, depth: int) -> Data
     return tables.join(q, (F.col("table_id") == F.col("t")) & (prefix(F.col("hash"), depth) == F.col("p"))).select("query_id", "id", "table_id")
 
 
+def ranged_candidates(queries: DataFrame, tables: DataFrame, bits: int) -> DataFrame:
+    """(query_id, id, table_id) for queries (query_id, table_id, hash, depth), whose depths may differ from row to row.
+
+    Tables are looked at in cells of so many leading bits: a query of a smaller depth reaches several cells, one
+    of a larger depth a part of one. So one pass over the tables serves all depths.
+    """
+    q = cells_of(queries, bits).withColumnRenamed("table_id", "t").withColumnRenamed("hash", "asked_hash")
+    same = F.expr(f"shiftright(hash, {DEPTH} - depth) = shiftright(asked_hash, {DEPTH} - depth)")
+    return tables.join(q, (F.col("table_id") == F.col("t")) & (prefix(F.col("hash"), bits) == F.col("cell")) & same).select("query_id", "id", "table_id")
+
+
+def cells_of(queries: DataFrame, bits: int) -> DataFrame:
+    """A row for each cell of so many bits that a query's prefix reaches."""
+    low = F.expr(f"shiftleft(shiftright(hash, {DEPTH} - least(depth, {bits})), {bits} - least(depth, {bits}))")
+    width = F.expr(f"shiftleft(1, {bits} - least(depth, {bits})) - 1")
+    return queries.withColumn("cell", F.explode(F.sequence(low, low + width)))
+
+
+#: Leading bits whose counts the directory holds.
+DIRECTORY_BITS = 16
+
+
+def directory(tables: DataFrame) -> DataFrame:
+    """(table_id, cell, size): rows of the tables by their leading bits."""
+    return tables.groupBy("table_id", prefix(F.col("hash"), DIRECTORY_BITS).alias("cell")).agg(F.count("*").alias("size"))
+
+
+def coarser(sizes: DataFrame, bits: int) -> DataFrame:
+    """A directory's counts by fewer bits."""
+    return sizes.groupBy("table_id", F.shiftright("cell", DIRECTORY_BITS - bits).alias("cell")).agg(F.sum("size").alias("size"))
+
+
 def bucket_sizes(tables: DataFrame, depth: int) -> DataFrame:
     """(table_id, prefix, size)."""
     return tables.groupBy("table_id", prefix(F.col("hash"), depth).alias("prefix")).agg(F.count("*").alias("size"))

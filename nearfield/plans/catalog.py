@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import formats, probability, similarity
-from nearfield.operators import exact, hash_sources, relational, tables
+from nearfield.operators import exact, families, hash_sources, relational, tables
 from nearfield.plans.index import AnnIndex
 from nearfield.session import scratch_path
 from nearfield.sources import points as sources
@@ -18,10 +18,7 @@ ORACLES: dict[str, str] = {}
 
 DIMENSIONS = 64
 UNIVERSE = 4096
-#: Queries of the search examples: the stored points of the smallest ids.
-ASKED = 20
-FIRST = f"id < {ASKED}"
-#: Queries of the searches over the whole query set, which grows with the table.
+#: The query set of searches: stored points, as many as the table's size asks for.
 EVERY_20TH = "id % 20 = 0"
 K = 10
 
@@ -42,7 +39,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.table_points(spark, f"{sf_dir}/embeddings.parquet", "vec_id", "embedding")
 
 
-def asked_vectors(spark: SparkSession, sf_dir: str, asked: str = FIRST) -> DataFrame:
+def asked_vectors(spark: SparkSession, sf_dir: str, asked: str = EVERY_20TH) -> DataFrame:
     return vectors(spark, sf_dir).where(asked).withColumnRenamed("id", "query_id")
 
 
@@ -73,7 +70,7 @@ BENCH_SETS = DOC_SETS.replace("d AS (SELECT doc_id AS id", "b AS (SELECT item_id
 JACCARD = "CASE WHEN len(list_distinct(list_concat(a.tokens, c.tokens))) = 0 THEN 0.0 ELSE len(list_intersect(a.tokens, c.tokens))::DOUBLE / len(list_distinct(list_concat(a.tokens, c.tokens))) END"
 
 
-def knn_sql(similar: str, where: str = "", exclude_self: bool = False, asked: str = f"< {ASKED}") -> str:
+def knn_sql(similar: str, where: str = "", exclude_self: bool = False, asked: str = "% 20 = 0") -> str:
     return f"""
 WITH s AS (SELECT q.vec_id AS query_id, p.vec_id AS id, {similar} AS s FROM embeddings q, embeddings p
     WHERE q.vec_id {asked} {"AND q.vec_id <> p.vec_id" if exclude_self else ""} {where}),
@@ -102,10 +99,10 @@ def quantize_q15(spark, sf_dir):
     return vectors(spark, sf_dir).select("id", F.posexplode(formats.quantise(F.col("features"))).alias("dim", "code")).select("id", F.col("dim").cast("long").alias("dim"), "code")
 
 
-@query("SELECT vec_id AS id, dim - 1 AS dim, least(trunc(embedding[dim]::DOUBLE * 32768), 32767) / 32768 AS value FROM embeddings, generate_series(1, 64) g(dim) WHERE vec_id IN (1, 3, 8)")
+@query("SELECT vec_id AS id, dim - 1 AS dim, least(trunc(embedding[dim]::DOUBLE * 32768), 32767) / 32768 AS value FROM embeddings, generate_series(1, 64) g(dim) WHERE vec_id % 20 = 0")
 def get_points(spark, sf_dir):
     """Stored points by id, read back from 16-bit codes."""
-    v = vectors(spark, sf_dir).where(F.col("id").isin(1, 3, 8)).select("id", formats.dequantise(formats.quantise(F.col("features"))).alias("v"))
+    v = vectors(spark, sf_dir).where(EVERY_20TH).select("id", formats.dequantise(formats.quantise(F.col("features"))).alias("v"))
     return v.select("id", F.posexplode("v").alias("dim", "value")).select("id", F.col("dim").cast("long").alias("dim"), "value")
 
 
@@ -160,13 +157,13 @@ def jaccard_pairs(spark, sf_dir):
 
 
 @query(knn_sql(COSINE, exclude_self=True))
-def knn_cosine_bf(spark, sf_dir, asked=FIRST):
-    return rounded(exact.knn(vectors(spark, sf_dir), asked_vectors(spark, sf_dir, asked), K, exclude_self=True))
+def knn_cosine_bf(spark, sf_dir):
+    return rounded(exact.knn(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), K, exclude_self=True))
 
 
 @query(knn_sql(L2))
-def knn_l2_bf(spark, sf_dir, asked=FIRST):
-    return rounded(exact.knn(vectors(spark, sf_dir), asked_vectors(spark, sf_dir, asked), K, "l2"))
+def knn_l2_bf(spark, sf_dir):
+    return rounded(exact.knn(vectors(spark, sf_dir), asked_vectors(spark, sf_dir), K, "l2"))
 
 
 @query(
@@ -180,10 +177,10 @@ def knn_jaccard_bf(spark, sf_dir):
 
 
 @query(knn_sql(COSINE, exclude_self=True))
-def knn_from_index_bf(spark, sf_dir, asked=FIRST):
+def knn_from_index_bf(spark, sf_dir):
     """Neighbours of stored points by id, at full recall."""
     index = AnnIndex(spark, "angular", DIMENSIONS, num_tables=2).insert(vectors(spark, sf_dir)).rebuild()
-    return rounded(index.search_from_index(vectors(spark, sf_dir).where(asked).select("id"), K, 1.0))
+    return rounded(index.search_from_index(vectors(spark, sf_dir).where(EVERY_20TH).select("id"), K, 1.0))
 
 
 @query(PAIRS_SQL.format(COSINE))
@@ -213,16 +210,11 @@ def closest_baskets_bf(spark, sf_dir):
     return rounded(exact.closest_pairs(baskets(spark, sf_dir), K, "jaccard", "tokens"))
 
 
-@query(
-    f"""WITH c AS (SELECT q.vec_id AS query_id, p.vec_id AS id, {COSINE} AS s FROM embeddings q, embeddings p WHERE q.vec_id < {ASKED} AND p.vec_id % 3 <> 0
-    UNION SELECT q.vec_id, p.vec_id, {COSINE} FROM embeddings q, embeddings p WHERE q.vec_id < {ASKED} AND p.vec_id % 2 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id DESC) AS rank FROM c WHERE s > 0)
-SELECT query_id, id, round(s, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= {K}"""
-)
+@query(knn_sql(COSINE))
 def topk_merge_dedup(spark, sf_dir):
-    """The k best of two overlapping candidate lists, each candidate once."""
+    """The k best of two overlapping candidate lists that hold every point between them, each candidate once."""
     v, q = vectors(spark, sf_dir), asked_vectors(spark, sf_dir)
-    parts = [exact.knn(v.where(w), q, K).drop("rank") for w in ("id % 3 <> 0", "id % 2 = 0")]
+    parts = [exact.knn(v.where(w), q, K).drop("rank") for w in ("id % 3 <> 0", "id % 3 <> 1")]
     merged = parts[0].unionByName(parts[1]).dropDuplicates(["query_id", "id"])
     return rounded(exact.top_k(merged, K))
 
@@ -284,10 +276,11 @@ def cross_polytope_hashes(spark, sf_dir):
 
 
 @query(
-    "WITH c AS (SELECT vec_id AS id, g.m AS dim, trunc(embedding[g.m + 1]::DOUBLE * 32768)::BIGINT AS code FROM embeddings, generate_series(0, 7) g(m)) SELECT id, a::INT AS axis, sum(code * (1 - 2 * (bit_count((dim & a)::BIGINT) % 2)))::BIGINT AS total FROM c, generate_series(0, 7) x(a) GROUP BY ALL"
+    f"WITH c AS (SELECT vec_id AS id, g.m AS dim, least(trunc(embedding[g.m + 1]::DOUBLE * 32768), 32767)::BIGINT AS code FROM embeddings, generate_series(0, {DIMENSIONS - 1}) g(m)) SELECT id, a::INT AS axis, sum(code * (1 - 2 * (bit_count((dim & a)::BIGINT) % 2)))::BIGINT AS total FROM c, generate_series(0, {DIMENSIONS - 1}) x(a) GROUP BY ALL"
 )
 def hadamard_transform(spark, sf_dir):
-    return relational.hadamard_rows(relational.coordinates(vectors(spark, sf_dir), "id", "features").where("dim < 8"), 8)
+    """The transform of all coordinates."""
+    return relational.hadamard_rows(relational.coordinates(vectors(spark, sf_dir), "id", "features"), DIMENSIONS)
 
 
 # tables and filters
@@ -301,10 +294,10 @@ def prefix_buckets(spark, sf_dir):
     return tables.bucket_sizes(rows, 6)
 
 
-@query(f"WITH {PLANES_SQL} SELECT DISTINCT q.id AS query_id, p.id FROM h q JOIN h p ON q.table_id = p.table_id AND q.hash >> {DEPTH_SHIFT} = p.hash >> {DEPTH_SHIFT} WHERE q.id < {ASKED}")
-def prefix_candidates(spark, sf_dir, asked=FIRST):
+@query(f"WITH {PLANES_SQL} SELECT DISTINCT q.id AS query_id, p.id FROM h q JOIN h p ON q.table_id = p.table_id AND q.hash >> {DEPTH_SHIFT} = p.hash >> {DEPTH_SHIFT} WHERE q.id % 20 = 0")
+def prefix_candidates(spark, sf_dir):
     rows = hash_rows(spark, sf_dir).withColumn("hash", F.shiftleft("hash", hash_sources.DEPTH - BITS))
-    queries = rows.where(asked).withColumnRenamed("id", "query_id")
+    queries = rows.where(EVERY_20TH).withColumnRenamed("id", "query_id")
     return tables.prefix_candidates(queries, rows, 6).select("query_id", "id").distinct()
 
 
@@ -315,10 +308,10 @@ def equal_hash_segments(spark, sf_dir):
     return hash_rows(spark, sf_dir).groupBy("table_id", "hash").agg(n.alias("points")).where("points > 1").select("table_id", "hash", "points", F.expr("points * (points - 1) div 2").alias("pairs"))
 
 
-@query(f"WITH {PLANES_SQL} SELECT q.table_id, q.id AS query_id, p.id FROM h q JOIN h p ON q.table_id = p.table_id WHERE q.id < {ASKED} AND bit_count(xor(q.hash, p.hash)) <= 2")
-def sketch_hamming_filter(spark, sf_dir, asked=FIRST):
+@query(f"WITH {PLANES_SQL} SELECT q.table_id, q.id AS query_id, p.id FROM h q JOIN h p ON q.table_id = p.table_id WHERE q.id % 20 = 0 AND bit_count(xor(q.hash, p.hash)) <= 2")
+def sketch_hamming_filter(spark, sf_dir):
     rows = hash_rows(spark, sf_dir)
-    queries = F.broadcast(rows.where(asked).select("table_id", F.col("id").alias("query_id"), F.col("hash").alias("asked")))
+    queries = F.broadcast(rows.where(EVERY_20TH).select("table_id", F.col("id").alias("query_id"), F.col("hash").alias("asked")))
     return rows.join(queries, "table_id").where(tables.sketch_passes(F.col("hash"), F.col("asked"), F.lit(2))).select("table_id", "query_id", "id")
 
 
@@ -376,59 +369,24 @@ def interleaved_bits(spark, sf_dir):
     return spark.createDataFrame([(x, int(y)) for x, y in enumerate(hash_sources.spread_bits(np.arange(4096)).tolist())], "x long, spread long")
 
 
-# the index. Recall is so close to 1 that answers are exact but for a chance below one in 10,000 for each neighbour.
-
-NEARLY_ALL = 0.9999
-
-
-def built(spark, sf_dir, **options) -> AnnIndex:
-    return AnnIndex(spark, "angular", DIMENSIONS, **({"num_tables": 24} | options)).insert(vectors(spark, sf_dir)).rebuild()
+# probabilities of one bit of MinHash, of a search that stops inside a depth, and of the cross-polytope
 
 
-@query(knn_sql(COSINE))
-def knn_lsh_search(spark, sf_dir, asked=FIRST):
-    return rounded(built(spark, sf_dir).search(asked_vectors(spark, sf_dir, asked), K, NEARLY_ALL, "none"))
-
-
-@query(knn_sql(COSINE))
-def knn_lsh_tensor_simhash(spark, sf_dir, asked=FIRST):
-    return rounded(built(spark, sf_dir, hash_function="simhash", hash_source="tensor", num_tables=25).search(asked_vectors(spark, sf_dir, asked), K, NEARLY_ALL, "none"))
+@query(f"WITH {GRID} SELECT s, b::INT AS bits, round(CASE WHEN b = 0 THEN 1.0 ELSE s + (1 - s) * (100 / 2 - 1) / 99 END, 9) AS p FROM grid, generate_series(0, 2) h(b)")
+def collision_prob_1bit_minhash(spark, sf_dir):
+    p = families.MinHash1Bit.collision(100)
+    return spark.createDataFrame([(i / 100, b, round(p(b, i / 100), 9)) for i in range(101) for b in range(3)], "s double, bits int, p double")
 
 
-@query(knn_sql(COSINE))
-def knn_lsh_pool(spark, sf_dir, asked=FIRST):
-    return rounded(built(spark, sf_dir, hash_source="pool", source_args={"pool_size": 700}).search(asked_vectors(spark, sf_dir, asked), K, NEARLY_ALL, "none"))
-
-
-@query(
-    f"""WITH {DOC_SETS}, {BENCH_SETS},
-s AS (SELECT a.id AS query_id, c.id AS id, {JACCARD} AS s FROM b a, d c),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id DESC) AS rank FROM s WHERE s > 0)
-SELECT query_id, id, round(s, 6) AS similarity, rank::INT AS rank FROM r WHERE rank <= {K}"""
-)
-def knn_lsh_jaccard(spark, sf_dir):
-    index = AnnIndex(spark, "jaccard", UNIVERSE, num_tables=24).insert(doc_sets(spark, sf_dir)).rebuild()
-    return rounded(index.search(bench_sets(spark, sf_dir), K, NEARLY_ALL, "none"))
-
-
-@query(PAIRS_SQL.format(COSINE))
-def closest_pairs_lsh(spark, sf_dir):
-    return rounded(built(spark, sf_dir).closest_pairs(K, NEARLY_ALL))
-
-
-@query(knn_sql(COSINE))
-def incremental_append_search(spark, sf_dir, asked=FIRST):
-    """Half the points, a rebuild, the other half, another rebuild, then a search over all."""
-    v = vectors(spark, sf_dir)
-    index = AnnIndex(spark, "angular", DIMENSIONS, num_tables=24).insert(v.where("id % 2 = 0")).rebuild().insert(v.where("id % 2 = 1")).rebuild()
-    return rounded(index.search(asked_vectors(spark, sf_dir, asked), K, NEARLY_ALL, "none"))
+@query(f"WITH {GRID} SELECT s, d::INT AS depth, round((1 - {P1} ** d) ** 16 * CASE WHEN d < 24 THEN (1 - {P1} ** (d + 1)) ** 48 ELSE 1 END, 9) AS failure FROM grid, generate_series(1, 24) h(d)")
+def failure_prob_partial(spark, sf_dir):
+    """16 of 64 tables looked at to a depth, the others one bit deeper."""
+    c = probability.concatenated_column(probability.simhash_column, 1)
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.round(probability.independent_failure_column(c, d, 64, F.col("s"), 16), 9).alias("failure")) for d in range(1, 25)])).alias("x")
+    return grid(spark).select("s", each).select("s", "x.depth", "x.failure")
 
 
-@query(knn_sql(COSINE))
-def save_load_search(spark, sf_dir, asked=FIRST):
-    path = scratch_path(spark, "saved-index")
-    built(spark, sf_dir).save(path)
-    return rounded(AnnIndex.load(spark, path).search(asked_vectors(spark, sf_dir, asked), K, NEARLY_ALL, "none"))
+# sources
 
 
 @query("SELECT 'w' || vec_id AS word, dim - 1 AS dim, embedding[dim] AS value FROM embeddings, generate_series(1, 64) g(dim)")
@@ -439,58 +397,6 @@ def word_vector_round_trip(spark, sf_dir):
     return sources.read_word_vectors(spark, path).select("word", F.posexplode("features").alias("dim", "value")).select("word", F.col("dim").cast("long").alias("dim"), "value")
 
 
-@query("SELECT 20::BIGINT AS queries, 20::BIGINT AS finished")
-def search_metrics(spark, sf_dir, asked=FIRST):
-    """Queries that a search was asked and that its rounds finished."""
-    index = AnnIndex(spark, "angular", DIMENSIONS, num_tables=8, hash_function="simhash").insert(vectors(spark, sf_dir)).rebuild()
-    index.search(asked_vectors(spark, sf_dir, asked), K, 0.5)
-    return index.query_metrics().agg(F.max("queries").alias("queries"), F.sum("finished").alias("finished"))
-
-
 @query()
 def random_points(spark, sf_dir):
     return sources.random_vectors(spark, 500, 5).join(sources.random_sets(spark, 500, 100), "id")
-
-
-# the same searches for the whole query set: every stored point whose id is divisible by 20, against all points
-
-
-def whole(f) -> None:
-    name = f"{f.__name__}_every_20th"
-    sql = ORACLES[f.__name__].replace(f"q.vec_id < {ASKED}", "q.vec_id % 20 = 0").replace(f"q.id < {ASKED}", "q.id % 20 = 0")
-    query(sql, name)(lambda spark, sf_dir: f(spark, sf_dir, EVERY_20TH))
-
-
-for f in (knn_cosine_bf, knn_l2_bf, knn_from_index_bf, prefix_candidates, sketch_hamming_filter, knn_lsh_search, knn_lsh_tensor_simhash, knn_lsh_pool, incremental_append_search, save_load_search):
-    whole(f)
-
-
-@query("SELECT count(*)::BIGINT AS queries, count(*)::BIGINT AS finished FROM embeddings WHERE vec_id % 20 = 0")
-def search_metrics_every_20th(spark, sf_dir):
-    return search_metrics(spark, sf_dir, EVERY_20TH)
-
-
-@query(knn_sql(COSINE, asked="% 20 = 0"))
-def topk_merge_dedup_every_20th(spark, sf_dir):
-    """The k best of two overlapping candidate lists that hold every point between them."""
-    v, q = vectors(spark, sf_dir), asked_vectors(spark, sf_dir, EVERY_20TH)
-    parts = [exact.knn(v.where(w), q, K).drop("rank") for w in ("id % 3 <> 0", "id % 3 <> 1")]
-    merged = parts[0].unionByName(parts[1]).dropDuplicates(["query_id", "id"])
-    return rounded(exact.top_k(merged, K))
-
-
-# whole vectors, and lookups of the whole query set
-
-
-@query(ORACLES["get_points"].replace("vec_id IN (1, 3, 8)", "vec_id % 20 = 0"))
-def get_points_every_20th(spark, sf_dir):
-    v = vectors(spark, sf_dir).where(EVERY_20TH).select("id", formats.dequantise(formats.quantise(F.col("features"))).alias("v"))
-    return v.select("id", F.posexplode("v").alias("dim", "value")).select("id", F.col("dim").cast("long").alias("dim"), "value")
-
-
-@query(
-    f"WITH c AS (SELECT vec_id AS id, g.m AS dim, least(trunc(embedding[g.m + 1]::DOUBLE * 32768), 32767)::BIGINT AS code FROM embeddings, generate_series(0, {DIMENSIONS - 1}) g(m)) SELECT id, a::INT AS axis, sum(code * (1 - 2 * (bit_count((dim & a)::BIGINT) % 2)))::BIGINT AS total FROM c, generate_series(0, {DIMENSIONS - 1}) x(a) GROUP BY ALL"
-)
-def hadamard_transform_whole(spark, sf_dir):
-    """The transform of all coordinates."""
-    return relational.hadamard_rows(relational.coordinates(vectors(spark, sf_dir), "id", "features"), DIMENSIONS)

@@ -2,7 +2,7 @@
 
 A point is searchable by search() once rebuild() has run after its insertion; the exact methods see every
 inserted point. Inserts append; the same seed gives the same functions, so a saved index needs no function
-tables, only its settings.
+tables, only its settings. Of queries with one id, one is asked.
 """
 
 from __future__ import annotations
@@ -10,16 +10,20 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import formats
 from nearfield.operators import adaptive, exact, families, hash_sources, tables
 from nearfield.session import persist_table
 
-#: Tables where neither a number nor a memory limit is given, and the most that a limit leads to.
+#: Tables where neither a number nor a memory limit is given.
 DEFAULT_TABLES = 64
-MOST_TABLES = 128
+#: Appended segments after which a rebuild writes points and tables anew.
+SEGMENTS = 16
+#: Rows of tables in one file, whose (table_id, hash) ranges don't overlap.
+FILE_ROWS = 4_000_000
+STORAGE = ("double", "q15")
 
 
 @dataclass
@@ -33,42 +37,52 @@ class IndexSpec:
     hash_source: str | None = None
     source_args: dict = field(default_factory=dict)
     seed: int = 42
+    sketch_function: str | None = None
+    storage: str = "double"
 
 
 class AnnIndex:
-    """metric: "angular" (column features) or "jaccard" (column tokens); dimensions: of vectors, or the universe of tokens."""
+    """metric: "angular" or "l2" (column features) or "jaccard" (column tokens); dimensions: of vectors, or the universe of tokens.
+
+    storage="q15" keeps unit vectors as 16-bit codes, a quarter of the bytes; similarities are then those of the
+    codes. "l2" keeps vectors as they are and has no hash family: search_bf and closest_pairs_bf only.
+    """
 
     def __init__(self, spark: SparkSession, metric: str, dimensions: int, memory_limit: int | None = None, **options):
         self.spark = spark
         self.spec = IndexSpec(metric, dimensions, memory_limit=memory_limit, **options)
-        self.family = families.family(metric, self.spec.hash_function)
-        self.source_kind = hash_sources.source_class(self.spec.hash_source)
+        if self.spec.storage not in STORAGE or (self.spec.storage == "q15" and metric != "angular"):
+            raise ValueError(f"no storage {self.spec.storage!r} for {metric}")
+        if metric != "l2":
+            self.family = families.family(metric, self.spec.hash_function)
+            self.sketches = families.sketch_family(metric, self.spec.sketch_function)
+            self.source_kind = hash_sources.source_class(self.spec.hash_source)
         self.column = "tokens" if metric == "jaccard" else "features"
-        self.tables_used = 0
-        self.built: DataFrame | None = None
-        self.tables: DataFrame | None = None
-        self.staged: list[DataFrame] = []
+        self.kind = {"tokens": "array<int>", "features": "array<short>" if self.spec.storage == "q15" else "array<double>"}[self.column]
+        self.clear()
         self.metrics: list[dict] = []
 
     # points
 
+    def _stored(self, value: Column) -> Column:
+        """A point as it is kept: an ordered set, a vector, a unit vector, or its codes."""
+        if self.column == "tokens":
+            return formats.token_set(value, self.spec.dimensions).cast(self.kind)
+        checked = formats.checked_vector(value, self.spec.dimensions)
+        if self.spec.metric == "l2":
+            return checked.cast(self.kind)
+        unit = formats.normalise(checked)
+        return (formats.quantise(unit) if self.spec.storage == "q15" else unit).cast(self.kind)
+
     def insert(self, points: DataFrame) -> AnnIndex:
         """Add points (id, features or tokens). Rows of another length, or with tokens outside the universe, are errors."""
-        value = F.col(self.column)
-        checked = formats.token_set(value, self.spec.dimensions) if self.column == "tokens" else formats.normalise(formats.checked_vector(value, self.spec.dimensions))
-        kind = "array<int>" if self.column == "tokens" else "array<double>"
-        self.staged.append(points.select(F.col("id").cast("long").alias("id"), checked.cast(kind).alias(self.column)).where(f"id is not null and {self.column} is not null"))
+        self.staged.append(points.select(F.col("id").cast("long").alias("id"), self._stored(F.col(self.column)).alias(self.column)).where(f"id is not null and {self.column} is not null"))
         return self
 
     def points(self) -> DataFrame:
-        """All inserted points as stored: id and the unit vector or ordered token set."""
+        """All inserted points as stored: id and the vector, its codes, or the ordered token set."""
         parts = ([self.built.select("id", self.column)] if self.built is not None else []) + self.staged
-        if not parts:
-            return self.spark.createDataFrame([], f"id long, {self.column} {'array<int>' if self.column == 'tokens' else 'array<double>'}")
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        return _union(parts) if parts else self.spark.createDataFrame([], f"id long, {self.column} {self.kind}")
 
     def get(self, *ids: int) -> DataFrame:
         return self.points().where(F.col("id").isin(*ids))
@@ -81,10 +95,25 @@ class AnnIndex:
         return self.tables_used
 
     def clear(self) -> AnnIndex:
-        self.built = self.tables = None
-        self.staged, self.tables_used = [], 0
+        self.segments: list[tuple[DataFrame, DataFrame, DataFrame]] = []  # points, tables, directory
+        self.staged: list[DataFrame] = []
+        self.tables_used = self.made_for = self.built_count = 0
+        self.source: hash_sources.Source | None = None
         return self
 
+    @property
+    def built(self) -> DataFrame | None:
+        """Searchable points with their sketches."""
+        return _union([p for p, _, _ in self.segments]) if self.segments else None
+
+    @property
+    def tables(self) -> DataFrame | None:
+        return _union([t for _, t, _ in self.segments]).where(F.col("table_id") < self.tables_used) if self.segments else None
+
+    def directory(self) -> DataFrame:
+        """(table_id, cell, size) of all segments."""
+        return _union([d for _, _, d in self.segments]).groupBy("table_id", "cell").agg(F.sum("size").alias("size"))
+
     # building
 
     def _choose_tables(self, n: int) -> int:
@@ -93,59 +122,73 @@ class AnnIndex:
         if not self.spec.memory_limit:
             return DEFAULT_TABLES
         size = 2 * formats.padded_dimensions(self.spec.dimensions) if self.column == "features" else 24 + 4 * 32
-        return min(MOST_TABLES, hash_sources.tables_for(self.spec.memory_limit, n, size, self.family, self.spec.dimensions, self.source_kind, **self.spec.source_args))
+        return hash_sources.tables_for(self.spec.memory_limit, n, size, self.family, self.spec.dimensions, self.source_kind, **self.spec.source_args)
 
     def _source(self, n: int) -> hash_sources.Source:
         return self.source_kind(self.family, self.spec.dimensions, n, self.spec.seed, self.spec.hash_args, **self.spec.source_args)
 
     def _hasher(self) -> tables.Hasher:
-        return tables.Hasher(self.source, families.FAMILIES[families.DEFAULT_SKETCH[self.spec.metric]], self.spec.dimensions, self.spec.seed)
+        return tables.Hasher(self.source, self.sketches, self.spec.dimensions, self.spec.seed)
 
     def rebuild(self) -> AnnIndex:
-        """Make all inserted points searchable; only points that are new since the last rebuild are hashed."""
-        new = None
-        for part in self.staged:
-            new = part if new is None else new.unionByName(part)
-        if new is None:
+        """Make all inserted points searchable; only points that are new since the last rebuild are hashed and written.
+
+        They become a segment of their own; when there are SEGMENTS, all are written anew as one.
+        """
+        if not self.staged or self.spec.metric == "l2":
             return self
-        new = persist_table(new, "index-new")
-        n = new.count() + (self.built.count() if self.built is not None else 0)
-        wanted = self._choose_tables(n)
+        new = persist_table(_union(self.staged), "index-new")
+        self.built_count += new.count()
+        wanted = self._choose_tables(self.built_count)
         if self.tables_used and wanted < self.tables_used and self.source_kind is hash_sources.Independent:
             # the budget holds fewer tables now: the first ones stay, as their functions do
-            self.tables_used, self.tables = wanted, self.tables.where(F.col("table_id") < wanted)
-        if not self.tables_used:
             self.tables_used = wanted
-            self.made_for = wanted
-        self.source = getattr(self, "source", None) or self._source(self.made_for)
+        if not self.tables_used:
+            self.tables_used = self.made_for = wanted
+        self.source = self.source or self._source(self.made_for)
         hashed = persist_table(tables.hashed(new, self._hasher(), self.column), "index-hashed")
-        points = new.join(hashed.select("id", "sketches"), "id")
-        rows = tables.table_rows(hashed).where(F.col("table_id") < self.tables_used)
-        self.built = persist_table(points if self.built is None else self.built.unionByName(points), "index-points")
-        self.tables = persist_table((rows if self.tables is None else self.tables.unionByName(rows)).repartition("table_id").sortWithinPartitions("table_id", "hash"), "index-tables")
+        points = persist_table(new.join(hashed.select("id", "sketches").dropDuplicates(["id"]), "id"), "index-points")
+        self._add_segment(points, tables.table_rows(hashed))
+        if len(self.segments) >= SEGMENTS:
+            points, rows = persist_table(self.built, "index-points"), self.tables
+            self.segments = []
+            self._add_segment(points, rows)
         self.staged = []
         return self
 
+    def _add_segment(self, points: DataFrame, rows: DataFrame) -> None:
+        rows = rows.where(F.col("table_id") < self.tables_used)
+        files = max(1, -(-points.count() * self.tables_used // FILE_ROWS))
+        # ranges of (table_id, hash), so that neither many points nor few tables make a task large
+        ordered = rows.repartitionByRange(files, "table_id", "hash", "id") if files > 1 else rows.coalesce(1)
+        written = persist_table(ordered.sortWithinPartitions("table_id", "hash"), "index-tables")
+        self.segments.append((points, written, persist_table(tables.directory(written), "index-directory")))
+
     # searching
 
     def _asked(self, queries: DataFrame) -> DataFrame:
-        value = F.col(self.column)
-        stored = formats.token_set(value, self.spec.dimensions) if self.column == "tokens" else formats.normalise(formats.checked_vector(value, self.spec.dimensions))
-        kind = "array<int>" if self.column == "tokens" else "array<double>"
-        return queries.select(F.col("query_id").cast("long"), stored.cast(kind).alias(self.column))
+        return queries.select(F.col("query_id").cast("long"), self._stored(F.col(self.column)).alias(self.column))
 
-    def search(self, queries: DataFrame, k: int, recall: float, filter_type: str = "default", exclude_self: bool = False) -> DataFrame:
-        """query_id, id, similarity, rank of the k nearest of each query (query_id, features or tokens)."""
+    def _searchable(self, filter_type: str) -> None:
         if filter_type not in adaptive.FILTERS:
             raise ValueError(f"unknown filter type {filter_type!r}")
+        if self.spec.metric == "l2":
+            raise ValueError("l2 has no hash family; use the exact methods")
+
+    def search(self, queries: DataFrame, k: int, recall: float, filter_type: str = "default", exclude_self: bool = False) -> DataFrame:
+        """query_id, id, similarity, rank of the k nearest of each query (query_id, features or tokens)."""
+        self._searchable(filter_type)
         asked = persist_table(self._asked(queries), "index-asked")
-        if self.built is None:
+        if not self.segments:
             return exact.knn(self.points().limit(0), asked, k, self.spec.metric, self.column)
         hashed = tables.hashed(asked.withColumnRenamed("query_id", "id"), self._hasher(), self.column)
-        hashed = hashed.select(F.col("id").alias("query_id"), F.slice("hashes", 1, self.tables_used).alias("hashes"), "sketches")
+        hashed = hashed.select(F.col("id").alias("query_id"), F.slice("hashes", 1, self.tables_used).alias("hashes"), "sketches").dropDuplicates(["query_id"])
         self.source.tables = self.tables_used
-        sketch = families.FAMILIES[families.DEFAULT_SKETCH[self.spec.metric]].collision(self.spec.dimensions)
-        return adaptive.search(self.built, self.tables, asked.join(hashed, "query_id"), self.source, sketch, k, recall, self.spec.metric, self.column, filter_type, exclude_self, trace=self.metrics)
+        collision = self.sketches.collision(self.spec.dimensions)
+        asked = asked.dropDuplicates(["query_id"]).join(hashed, "query_id")
+        return adaptive.search(
+            self.built, self.tables, self.directory(), self.built_count, asked, self.source, collision, k, recall, self.spec.metric, self.column, filter_type, exclude_self, self.metrics, self.spec.storage
+        )
 
     def query_metrics(self) -> DataFrame:
         """A row for each round of the searches since the last clear_metrics(): depth, candidates, queries, finished, seconds."""
@@ -164,12 +207,11 @@ class AnnIndex:
 
     def closest_pairs(self, k: int, recall: float, filter_type: str = "default") -> DataFrame:
         """id_a, id_b, similarity, rank; the filter type is accepted and, as pairs use no sketches, not used."""
-        if filter_type not in adaptive.FILTERS:
-            raise ValueError(f"unknown filter type {filter_type!r}")
-        if self.built is None:
+        self._searchable(filter_type)
+        if not self.segments:
             return exact.closest_pairs(self.points().limit(0), k, self.spec.metric, self.column)
         self.source.tables = self.tables_used
-        return adaptive.closest_pairs(self.built, self.tables, self.source, k, recall, self.spec.metric, self.column)
+        return adaptive.closest_pairs(self.built, self.tables, self.source, k, recall, self.spec.metric, self.column, self.metrics)
 
     def closest_pairs_bf(self, k: int) -> DataFrame:
         return exact.closest_pairs(self.points(), k, self.spec.metric, self.column)
@@ -178,11 +220,12 @@ class AnnIndex:
 
     def save(self, path: str) -> None:
         """Write settings, points and tables (a folder for each table) below path."""
-        meta = asdict(self.spec) | {"tables_used": self.tables_used, "made_for": getattr(self, "made_for", 0)}
+        meta = asdict(self.spec) | {"tables_used": self.tables_used, "made_for": self.made_for}
         self.spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-        if self.built is not None:
+        if self.segments:
             self.built.write.mode("overwrite").parquet(f"{path}/points")
             self.tables.write.mode("overwrite").partitionBy("table_id").parquet(f"{path}/tables")
+            self.directory().write.mode("overwrite").parquet(f"{path}/directory")
         for i, part in enumerate(self.staged):
             part.write.mode("overwrite" if not i else "append").parquet(f"{path}/staged")
 
@@ -197,8 +240,16 @@ class AnnIndex:
         if "points" in have:
             index.tables_used, index.made_for = used, made
             index.source = index._source(made)
-            index.built = spark.read.parquet(f"{path}/points")
-            index.tables = spark.read.parquet(f"{path}/tables").select("table_id", "hash", "id")
+            points = spark.read.parquet(f"{path}/points")
+            index.segments = [(points, spark.read.parquet(f"{path}/tables").select("table_id", "hash", "id"), spark.read.parquet(f"{path}/directory"))]
+            index.built_count = points.count()
         if "staged" in have:
             index.staged = [spark.read.parquet(f"{path}/staged")]
         return index
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -39,14 +41,22 @@ def reach_workers(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """Folder that every executor sees: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a temporary folder that goes with the driver; a cluster has no
+    folder that could be guessed, so there the setting is required.
+    """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if where:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(where)
         return where.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="nearfield-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="nearfield-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir("file://" + made)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
@@ -60,3 +70,9 @@ def persist_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table below the shared folder; results that still read from them end with this."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/nearfield")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -63,7 +63,8 @@ def test_failure_falls_with_depth_and_tensor_formula_agrees():
     t = hash_sources.Tensor(families.SimHash, 16, 9, 1)
     c = t.collision
     assert t.failure(6, 0.8) == pytest.approx(1 - (1 - (1 - c(3, 0.8)) ** 3) ** 2)
-    assert 0 <= probability.tensor_failure(c, 6, 4, 9, 0.8) <= 1
+    assert t.failure(6, 0.8) <= t.failure(6, 0.8, 4) <= t.failure(7, 0.8)
+    assert made.failure(12, 0.8) < made.failure(12, 0.8, 4) < made.failure(13, 0.8)
 
 
 def test_grid_pairs_cover_the_grid():

@@ -107,7 +107,85 @@ def test_closest_pairs(spark):
     assert len(found & {(r.id_a, r.id_b) for r in index.closest_pairs_bf(8).collect()}) >= 6
 
 
+def near_points(spark, n, dimensions, seed):
+    """n points, and each again with noise, ids n higher."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dimensions))
+    y = x + 0.15 * rng.standard_normal((n, dimensions))
+    return frame(spark, enumerate(np.concatenate([x, y]).tolist()))
+
+
+@pytest.mark.parametrize(("filter_type", "options"), [("default", {}), ("simple", {"hash_function": "simhash"}), ("none", {"hash_function": "simhash", "hash_source": "tensor", "num_tables": 100}), ("default", {"storage": "q15", "hash_function": "crosspolytope"})])
+def test_tables_answer_without_brute_force(spark, monkeypatch, filter_type, options):
+    index = AnnIndex(spark, "angular", 24, **({"num_tables": 48} | options)).insert(near_points(spark, 500, 24, 1)).rebuild()
+    queries = asked(near_points(spark, 500, 24, 1).where("id < 30"))
+    truth = index.search_bf(queries, 2).collect()
+    monkeypatch.setattr(exact, "knn", None)  # any call fails
+    found = index.search(queries, 2, 0.95, filter_type).collect()
+    assert recall_of(found, truth) >= 0.95
+    rounds = index.query_metrics().collect()
+    assert sum(r.finished for r in rounds) == 30 and all(r.depth > 0 for r in rounds)
+
+
+def test_hashes_that_say_nothing_answer_nothing(spark, monkeypatch):
+    """With scrambled hashes the tables finish few queries, so the counts above come from the families."""
+    from nearfield.operators import tables
+
+    points = near_points(spark, 500, 24, 1)
+    call = tables.Hasher.__call__
+
+    def scrambled(self, x):
+        hashes, sketches = call(self, x)
+        return hashes * 2654435761 % 16777213 * 40503 % (1 << 24), sketches
+
+    monkeypatch.setattr(tables.Hasher, "__call__", scrambled)
+    index = AnnIndex(spark, "angular", 24, num_tables=48).insert(points).rebuild()
+    index.search(asked(points.where("id < 30")), 2, 0.95, "none").collect()
+    assert sum(r.finished for r in index.query_metrics().collect() if r.depth > 0) < 15
+
+
+def test_segments_are_compacted_and_answers_stay(spark, monkeypatch):
+    from nearfield.plans import index as plans
+
+    monkeypatch.setattr(plans, "SEGMENTS", 3)
+    points = near_points(spark, 150, 8, 2)
+    index, whole = AnnIndex(spark, "angular", 8, num_tables=8), AnnIndex(spark, "angular", 8, num_tables=8).insert(points).rebuild()
+    for part in range(4):
+        index.insert(points.where(f"id % 4 = {part}")).rebuild()
+    assert len(index.segments) == 2 and index.built_count == 300
+    rows = lambda i: sorted(map(tuple, i.tables.collect()))
+    assert rows(index) == rows(whole) and sorted(map(tuple, index.directory().collect())) == sorted(map(tuple, whole.directory().collect()))
+
+
+def test_memory_sets_the_tables_without_a_cap(spark):
+    index = AnnIndex(spark, "angular", 2, memory_limit=20_000_000, hash_function="simhash").insert(frame(spark, TINY)).rebuild()
+    assert index.get_repetitions() > 128
+    assert index.clear().get_repetitions() == 0 and index.count() == 0
+
+
+def test_vectors_of_other_lengths_are_errors(spark):
+    odd = frame(spark, [(0, (1.0, 0.0)), (1, (1.0,))])
+    for bad in (lambda: exact.closest_pairs(odd, 2), lambda: exact.knn(odd, asked(frame(spark, TINY)), 1).collect(), lambda: exact.knn(frame(spark, TINY), asked(odd), 1)):
+        with pytest.raises(Exception, match="one length"):
+            bad()
+    hollow = spark.createDataFrame([(0, [1, None, 2]), (1, [2, 1])], "id long, tokens array<int>")
+    assert [r.similarity for r in exact.knn(hollow, asked(hollow.where("id = 0")), 2, "jaccard", "tokens").collect()] == [1.0, 1.0]
+
+
+def test_l2_collections_are_searched_exactly(spark, tmp_path):
+    index = AnnIndex(spark, "l2", 2).insert(frame(spark, TINY)).rebuild()
+    assert [r.id for r in index.search_bf(asked(frame(spark, [(0, (1.0, 0.0))])), 3).orderBy("rank").collect()] == [0, 4, 2]
+    with pytest.raises(ValueError, match="l2"):
+        index.search(asked(frame(spark, TINY)), 1, 0.5)
+    index.save(str(tmp_path / "l2"))
+    assert AnnIndex.load(spark, str(tmp_path / "l2")).count() == 5
+
+
 def test_errors(spark):
+    with pytest.raises(ValueError):
+        AnnIndex(spark, "angular", 3, sketch_function="crosspolytope")
+    with pytest.raises(ValueError):
+        AnnIndex(spark, "jaccard", 3, storage="q15")
     with pytest.raises(ValueError):
         AnnIndex(spark, "euclid", 3)
     with pytest.raises(ValueError):
