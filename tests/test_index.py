@@ -136,7 +136,7 @@ def test_hashes_that_say_nothing_answer_nothing(spark, monkeypatch):
 
     def scrambled(self, x):
         hashes, sketches = call(self, x)
-        return hashes * 2654435761 % 16777213 * 40503 % (1 << 24), sketches
+        return np.random.default_rng(len(hashes)).integers(0, 1 << 24, hashes.shape), sketches
 
     monkeypatch.setattr(tables.Hasher, "__call__", scrambled)
     index = AnnIndex(spark, "angular", 24, num_tables=48).insert(points).rebuild()
