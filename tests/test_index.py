@@ -139,7 +139,7 @@ def test_hashes_that_say_nothing_answer_nothing(spark, monkeypatch):
         return hashed(*a, **b).withColumn("hashes", noise)
 
     monkeypatch.setattr(tables, "hashed", scrambled)
-    index = AnnIndex(spark, "angular", 24, num_tables=48).insert(points).rebuild()
+    index = AnnIndex(spark, "angular", 24, num_tables=8).insert(points).rebuild()
     index.search(asked(points.where("id < 30")), 2, 0.95, "none").collect()
     assert sum(r.finished for r in index.query_metrics().collect() if r.depth > 0) < 15
 
