@@ -2,8 +2,8 @@
 
 A page is cut into blocks of text, each with its root-to-leaf path of block elements (class and id words
 included). Per path the text length, punctuation marks, link text and blocks are added up. The two ratios
-(characters outside links and marks for each block) are smoothed along the page, averaged for each path and
-fused into one score, which counts less the more of the path's text is links. Names are a prior: the score is
+(characters outside links and marks for each block) are smoothed along the page, averaged for each path, joined
+with the path's own by geometric means and fused into one score, which counts less the more of the path's text is links. Names are a prior: the score is
 multiplied by MARKED inside an article or main element, by NAMED inside a block whose class or id says as much, and by
 DENIED inside boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, comments). Paths whose
 score reaches SHARE of the page's highest, and LEAST, are content. So a path without names, or with the wrong ones, is judged
@@ -270,8 +270,8 @@ def path_scores(paths: Paths, blocks: list[Block]) -> dict[int, float]:
         along[b.path][0] += x
         along[b.path][1] += y
     out = {}
-    for p, (own, _, count, size) in sums.items():
-        x, y = along[p][0] / count, along[p][1] / count
+    for p, (own, points, count, size) in sums.items():
+        x, y = math.sqrt(along[p][0] * own) / count, math.sqrt(along[p][1] * points) / count
         out[p] = math.log(2 + x) * (1 + math.log1p(y)) * (own / size) * paths.prior(p)
     return out
 
