@@ -1,22 +1,29 @@
 """Secret scans: fixed patterns, and novelty of strings in sensitive context by dictionary-primed zstandard.
 
-A candidate is a run of key-like characters that follows a sensitive word within a few characters. The
-code before it is compressed with and without the candidate, each time with a compressor primed with a
-dictionary of identifiers. The difference is what the candidate costs given its surroundings: identifiers,
-words and repetitions cost little, random keys cost nearly their entropy. Candidates that cost at least
-NOVEL_RATIO of their length are reported beside the patterns' spans.
+A candidate is a run of LEAST or more key-like characters with a sensitive word within REACH characters on either
+side. The text around it, AROUND characters on each side, is compressed with and without the candidate, each time
+with a compressor primed with a dictionary of identifiers; other occurrences of the candidate are taken out of its
+surroundings first, so a key that is repeated does not vouch for itself. The difference is what the candidate costs
+given its surroundings: identifiers, words and repetitions cost little, random keys cost nearly their entropy.
+Candidates that cost at least NOVEL_RATIO of their length are the method's findings. No rule on digits or letters
+stands beside the cost.
+
+The dictionary holds a list of identifiers and those of the corpus: words that follow sensitive words in at least
+CORPUS_LEAST different places, counted over all documents, the most frequent CORPUS_WORDS of them (the bound is that
+of a dictionary that a compressor is primed with for each call).
 
 Defined results: a null text counts as an empty one and has no spans; positions are code points, ends are
-exclusive; spans are ordered by start, then by kind as in KINDS; a novel span that overlaps a pattern's
-span is left out; equal texts have equal spans; an empty table gives no rows; only the id and the text are
-read.
+exclusive; spans are ordered by start, then by kind as in KINDS; a finding that overlaps a pattern's span is counted
+in n_novel and left out of the spans; equal texts have equal spans; an empty table gives no rows; only the id and the
+text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -33,13 +40,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ACCESS_CHARS = 20
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more; shorter runs are dropped
 
-#: Words that make what follows them sensitive, how far they reach, and the least and greatest length judged.
+#: Words that make what stands around them sensitive, how far they reach, and what is judged.
 SENSITIVE = re.compile(r"(?:secret|passw|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|client[_-]?id|signature|pwd\b)", re.IGNORECASE | re.ASCII)
 REACH = 64
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-CONTEXT = 512
-NOVEL_RATIO = 0.72
-NOVEL_BYTES = 14
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+AROUND = 512
+NOVEL_RATIO = 0.66
+#: A high level: the lower ones leave more to chance on texts of a few hundred bytes.
+LEVEL = 19
+#: Different places in which a corpus word must stand, and the words that the dictionary takes.
+CORPUS_LEAST = 3
+CORPUS_WORDS = 2_000
 
 #: Priming text: identifiers and words that stand around keys without being keys.
 IDENTIFIERS = (
@@ -49,6 +61,7 @@ IDENTIFIERS = (
     "username user_name password passwd pwd secret secret_key SECRET_KEY token access_token refresh_token api_key apikey API_KEY client_id client_secret private_key public_key "
     "aws_access_key_id aws_secret_access_key connection_string database_url DATABASE_URL hostname localhost example.com http:// https:// www. placeholder changeme your_api_key_here xxxxxxxxxxxxxxxx "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 test_example_sample_dummy_value "
+    "environment variable process application configuration connection database authorization header value proxy charset service account project resource document element "
 )
 
 
@@ -60,24 +73,29 @@ class Span:
 
 
 class Novelty:
-    """Marginal compressed size of a string after its context."""
+    """Marginal compressed size of a string in its surroundings."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS, level: int = 6):
-        primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, corpus_words: Sequence[str] = (), level: int = LEVEL):
+        # what stands last in a dictionary is reached at least cost
+        primed = zstandard.ZstdCompressionDict((" ".join(corpus_words) + " " + IDENTIFIERS).encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=level, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    def cost(self, context: str, candidate: str) -> int:
-        before = context.encode("utf-8", "surrogatepass")
-        return len(self.compressor.compress(before + candidate.encode())) - len(self.compressor.compress(before))
+    def cost(self, before: str, candidate: str, after: str) -> int:
+        before, after = before.replace(candidate, ""), after.replace(candidate, "")
+        size = lambda text: len(self.compressor.compress(text.encode("utf-8", "surrogatepass")))
+        return size(before + candidate + after) - size(before + after)
 
 
-_novelty: list[Novelty] = []
+def corpus_words(docs: DataFrame, text_col: str = "text", least: int = CORPUS_LEAST, most: int = CORPUS_WORDS) -> list[str]:
+    """Words that follow sensitive words in the most different places, the most frequent last.
 
-
-def novelty() -> Novelty:
-    if not _novelty:
-        _novelty.append(Novelty())
-    return _novelty[0]
+    A place is the text that follows, so copies of a document count once.
+    """
+    after = rf"(?i){SENSITIVE.pattern}[\s\S]{{0,{REACH}}}"
+    places = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(after), F.lit(0))).alias("place")).distinct()
+    words = places.select(F.explode(F.array_distinct(F.regexp_extract_all("place", F.lit("[A-Za-z_]{4,}"), F.lit(0)))).alias("word"))
+    often = words.groupBy("word").count().where(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(most)
+    return [r[0] for r in often.collect()][::-1]
 
 
 def base_spans(text: str) -> list[Span]:
@@ -91,53 +109,58 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
-def novel_spans(text: str, base: list[Span]) -> list[Span]:
-    """Incompressible candidates within reach of a sensitive word, apart from the base spans."""
+def novel_spans(text: str, novelty: Novelty) -> list[Span]:
+    """Incompressible candidates within reach of a sensitive word, whatever the patterns say."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
     found: list[Span] = []
-    upto = 0
-    for word in SENSITIVE.finditer(text):
-        at = max(word.end(), upto)
-        while m := CANDIDATE.search(text, at, min(len(text), word.end() + REACH + 16)):
-            start, end = m.span()
-            if start > word.end() + REACH:
-                break
-            end = CANDIDATE.match(text, start).end()  # the whole run, beyond the reach too
-            at = upto = end
-            if any(s.start < end and start < s.end for s in base):
-                continue
-            value = text[start:end]
-            cost = novelty().cost(text[max(0, start - CONTEXT) : start], value)
-            if cost >= NOVEL_BYTES and cost >= NOVEL_RATIO * len(value) and re.search("[0-9]", value) and re.search("[A-Za-z]", value):
-                found.append(Span("novel", start, end))
+    starts = [a for a, _ in words]
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        # a word before it that ends within reach, or one after it that starts within reach; words inside it say nothing
+        k = bisect_left(starts, start)
+        near = (k > 0 and start - words[k - 1][1] <= REACH) or ((j := bisect_left(starts, end)) < len(starts) and starts[j] - end <= REACH)
+        if near and novelty.cost(text[max(0, start - AROUND) : start], m[0], text[end : end + AROUND]) >= NOVEL_RATIO * (end - start):
+            found.append(Span("novel", start, end))
     return found
 
 
-def spans(text: str | None) -> list[Span]:
-    text = text or ""
+def spans(text: str | None, novelty: Novelty | None = None) -> list[Span]:
+    return _both(text or "", novelty or Novelty())[0]
+
+
+def _both(text: str, novelty: Novelty) -> tuple[list[Span], int]:
+    """All spans in order, and the number of the method's findings."""
     base = base_spans(text)
-    low = text.lower()
-    if any(w in low for w in ("secret", "passw", "token", "key", "credential", "bearer", "client", "signature", "pwd")):
-        base = sorted([*base, *novel_spans(text, base)], key=lambda s: (s.start, KINDS.index(s.kind)))
-    return base
+    novel = novel_spans(text, novelty)
+    added = [n for n in novel if not any(s.start < n.end and n.start < s.end for s in base)]
+    return sorted([*base, *added], key=lambda s: (s.start, KINDS.index(s.kind))), len(novel)
 
 
 def joined(found: list[Span]) -> str:
     return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in found)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id_col, found (array of kind, start, end), n_assign, n_access, n_hex, base_sha256, spans."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Sequence[str] | None = None) -> DataFrame:
+    """Per row of docs: id_col, found (array of kind, start, end), n_assign, n_access, n_hex, base_sha256, spans, n_novel.
+
+    words are the corpus's identifiers; None counts them first, in a pass over docs.
+    """
+    words = corpus_words(docs, text_col) if words is None else list(words)
     light = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty = Novelty(words)
         for batch in batches:
-            each = [spans(t.as_py()) for t in batch.column(1)]
+            both = [_both(t.as_py() or "", novelty) for t in batch.column(1)]
+            each = [x for x, _ in both]
             cols = [pa.array([[{"kind": s.kind, "start": s.start, "end": s.end} for s in x] for x in each], pa.list_(span))]
             cols += [pa.array([sum(s.kind == k for s in x) for x in each], pa.int64()) for k in KINDS[:3]]
             cols.append(pa.array([hashlib.sha256(joined([s for s in x if s.kind != "novel"]).encode()).hexdigest() for x in each], pa.string()))
-            cols.append(pa.array([joined(x) for x in each], pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "found", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            cols += [pa.array([joined(x) for x in each], pa.string()), pa.array([n for _, n in both], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "found", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"])
 
-    schema = f"id {light.schema['id'].dataType.simpleString()}, found array<struct<kind string, start long, end long>>, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    schema = f"id {light.schema['id'].dataType.simpleString()}, found array<struct<kind string, start long, end long>>, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
     return light.mapInArrow(run, schema).withColumnRenamed("id", id_col)
