@@ -20,7 +20,9 @@ text are read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
@@ -41,7 +43,9 @@ ACCESS_CHARS = 20
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more; shorter runs are dropped
 
 #: Words that make what stands around them sensitive, how far they reach, and what is judged.
-SENSITIVE = re.compile(r"(?:secret|passw|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|client[_-]?id|signature|pwd\b)", re.IGNORECASE | re.ASCII)
+SENSITIVE = re.compile(r"(?:secret|passw|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|bearer|client[ _-]?id|signature|pwd\b)", re.IGNORECASE | re.ASCII)
+#: Lower-case strings of which one stands in every match, to pass over other texts cheaply.
+SIGNS = ("secret", "passw", "token", "key", "credential", "bearer", "client", "signature", "pwd")
 REACH = 64
 LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
@@ -92,7 +96,9 @@ def corpus_words(docs: DataFrame, text_col: str = "text", least: int = CORPUS_LE
     A place is the text that follows, so copies of a document count once.
     """
     after = rf"(?i){SENSITIVE.pattern}[\s\S]{{0,{REACH}}}"
-    places = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(after), F.lit(0))).alias("place")).distinct()
+    low = F.lower(text_col)
+    some = functools.reduce(operator.or_, [low.contains(w) for w in SIGNS])
+    places = docs.where(some).select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(after), F.lit(0))).alias("place")).distinct()
     words = places.select(F.explode(F.array_distinct(F.regexp_extract_all("place", F.lit("[A-Za-z_]{4,}"), F.lit(0)))).alias("word"))
     often = words.groupBy("word").count().where(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(most)
     return [r[0] for r in often.collect()][::-1]
@@ -111,9 +117,10 @@ def base_spans(text: str) -> list[Span]:
 
 def novel_spans(text: str, novelty: Novelty) -> list[Span]:
     """Incompressible candidates within reach of a sensitive word, whatever the patterns say."""
-    words = [m.span() for m in SENSITIVE.finditer(text)]
-    if not words:
+    low = text.lower()
+    if not any(w in low for w in SIGNS):
         return []
+    words = [m.span() for m in SENSITIVE.finditer(text)]
     found: list[Span] = []
     starts = [a for a, _ in words]
     for m in CANDIDATE.finditer(text):
