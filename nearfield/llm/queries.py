@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import decontaminate, htmltext, matroska, mixing, secrets, sharding, simhash, tokens, toxicity, urlfilter
-from .common import table
+from .common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,6 +94,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def token_cache_warm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a second run over the same documents, which the cache answers: every count is the cache's, none is new."""
+    docs, path, cache = table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "token-cache")
+    tokens.count_tokens(docs, path, cache).count()
+    stored = spark.read.parquet(cache).count()
+    again = tokens.count_tokens(docs, path, cache)
+    return again.withColumn("appended", F.lit(spark.read.parquet(cache).count() - stored))
+
+
 @query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
