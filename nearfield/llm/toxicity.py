@@ -15,8 +15,9 @@ over subsequences, the fitted machine is folded into one weight for each subsequ
 token a few hundred table look-ups. A text's score is a logistic function, fitted on training texts that
 the machine has not seen, of its highest margin, its number of positive tokens and, where there are any, its length.
 
-The training sample is bounded by TRAIN_TOXIC and TRAIN_CLEAN texts, chosen by hash; scoring covers all
-texts and all their tokens.
+The training sample is bounded by TRAIN_TOXIC and TRAIN_CLEAN texts and TRAIN_BYTES bytes, chosen by hash, and the
+words fitted on by FIT_POSITIVE, FIT_NEGATIVE and FIT_ADDED; scoring covers all texts and all their tokens. The
+score's constant is set so that THRESHOLD is the cut that parts the texts held back best.
 
 Defined results: null and empty texts get the score of a text without tokens; equal texts get equal
 scores; rows with a null label or text are not trained on; without labels of both classes every score
@@ -33,12 +34,24 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import persist_table
+
+#: The training sample: most texts of each class, and most bytes of both, chosen by hash.
 TRAIN_TOXIC = 1_000
 TRAIN_CLEAN = 2_000
+TRAIN_BYTES = 48_000_000
+#: Most words of the sample that the machine is fitted on: those with witnesses, harmless ones, and harmless ones added in a round.
+FIT_POSITIVE = 4_000
+FIT_NEGATIVE = 8_000
+FIT_ADDED = 3_000
+#: How many times a wrongly flagged share of clean texts counts against a found share of toxic ones where the cut is set.
+FALSE_ALARM = 1.5
+#: Parts of the sample, each judged by a machine fitted on the others.
+FOLDS = 3
 #: How often substrings should cover a toxic text.
 COVER = 3
 LANDMARKS = 160
@@ -82,7 +95,7 @@ def forms(token: str) -> list[str]:
     parts = [p for p in PLAIN.findall(core) if len(p) > 1]
     folded = "".join(PLAIN.findall(core.translate(LOOKS_LIKE)))
     bare = "".join(PLAIN.findall(core))
-    return list(dict.fromkeys(x for x in (*parts, folded if len(folded) <= 40 else "", bare if len(bare) <= 40 else "") if x))
+    return list(dict.fromkeys(x for x in (*parts, folded, bare) if x))
 
 
 def windows(word: str) -> list[str]:
@@ -352,7 +365,11 @@ def witnesses(toxic: list[set[str]], clean: list[set[str]], least: int = 3) -> l
 
 
 def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed: int = 7) -> Model:
-    """Fit on whole texts and their labels (1 toxic, 0 clean)."""
+    """Fit on whole texts and their labels (1 toxic, 0 clean).
+
+    For each of FOLDS parts a machine is fitted on the others and judges it, so every text is judged by a machine that
+    has not seen it; the logistic function is fitted on those judgements. The model's weights are the machines' mean.
+    """
     nothing = Model({p: (np.zeros(0, np.int64), np.zeros(0, np.float32)) for p in SHAPES}, -1.0, np.zeros(0))
     texts, labels = zip(*dict(zip(texts, labels, strict=True)).items(), strict=True) if texts else ((), ())  # copies tell nothing new
     y = np.array(labels)
@@ -360,24 +377,45 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed: i
         return nothing
     rng = np.random.default_rng(seed)
     words = [{f for s in SENTENCE.split(t) for token in tokens_of(s) for f in forms(token)} for t in texts]
-    judged = rng.random(len(texts)) < 0.3  # for the logistic function
-    if (y[~judged] == 1).sum() < 2 or (y[~judged] == 0).sum() < 2 or (y[judged] == 1).sum() < 2 or (y[judged] == 0).sum() < 2:
-        judged = np.ones(len(texts), dtype=bool)
-        learned = np.ones(len(texts), dtype=bool)
-    else:
-        learned = ~judged
-    toxic = [w for w, t, use in zip(words, y, learned, strict=True) if use and t == 1]
+    fold = np.zeros(len(texts), dtype=int)
+    for label in (0, 1):
+        of = rng.permutation(np.flatnonzero(y == label))
+        fold[of] = np.arange(len(of)) % FOLDS
+    parts = [(fold != k, fold == k) for k in range(FOLDS)]
+    if min((y == 1).sum(), (y == 0).sum()) < 2 * FOLDS:
+        parts = [(fold >= 0, fold >= 0)]
+    machines, x = [], np.zeros((len(texts), 3))
+    for learned, judged in parts:
+        machine = _machine(words, y, learned, landmarks, rng)
+        if machine is None:
+            return nothing
+        machines.append(machine)
+        x[judged] = Scorer(machine).features([texts[i] for i in np.flatnonzero(judged)])
+    w = _logistic(x, y.astype(float))
+    if w[2] > 0:  # a text is not more toxic for being longer
+        w = np.insert(_logistic(x[:, :2], y.astype(float)), 2, 0.0)
+    w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - _cut(x @ w[:-1] + w[-1], y)
+    weights = {}
+    for p in SHAPES:
+        numbers, place = np.unique(np.concatenate([m.weights[p][0] for m in machines]), return_inverse=True)
+        weights[p] = (numbers, (np.bincount(place, np.concatenate([m.weights[p][1] for m in machines]), len(numbers)) / len(machines)).astype(np.float32))
+    return Model(weights, float(np.mean([m.constant for m in machines])), w)
+
+
+def _machine(words: list[set[str]], y: np.ndarray, use: np.ndarray, landmarks: int, rng: np.random.Generator) -> Model | None:
+    """The kernel machine of the words of the texts to use, without the logistic function; None where nothing sets toxic texts apart."""
+    toxic = [w for w, t, u in zip(words, y, use, strict=True) if u and t == 1]
     toxic = [toxic[i] for i in _apart(toxic)]
-    clean = [w for w, t, use in zip(words, y, learned, strict=True) if use and t == 0]
+    clean = [w for w, t, u in zip(words, y, use, strict=True) if u and t == 0]
     chosen = witnesses(toxic, clean, 3 if len(toxic) >= 30 else 1)
     harmless = set().union(*clean)
     marks = re.compile("|".join(map(re.escape, chosen))) if chosen else None
     positive = sorted({w for ws in toxic for w in ws if marks and marks.search(f"^{w}$")} - harmless)
     if not positive:
-        return nothing
+        return None
     positive = [positive[i] for i in sorted(rng.permutation(len(positive))[:4_000])]
     harmless = sorted(harmless)
-    negative = [harmless[i] for i in rng.permutation(len(harmless))[:8_000]]
+    negative = [harmless[i] for i in rng.permutation(len(harmless))[:FIT_NEGATIVE]]
     # landmarks: for each witness its shortest words, then words of both classes
     ranked: list[str] = []
     each = max(2, landmarks * 3 // 4 // max(1, len(chosen)))
@@ -406,7 +444,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed: i
     plain = np.array([x[1:-1] not in disguised for x in pos])
     neg = list(dict.fromkeys(x for w in negative for x in windows(w)))
     every = list(dict.fromkeys(x for w in harmless for x in windows(w)))
-    model = nothing
+    model = None
     for _ in range(6):
         z = np.vstack([kernel.values(pos), kernel.values(neg)]) @ nystroem
         t = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
@@ -418,14 +456,20 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed: i
         new = [x for x in dict.fromkeys(hard) if x not in set(neg)] if hard else []
         if not new:
             break
-        neg += new[:3_000]
-    scorer = Scorer(model)
-    held = [i for i in range(len(texts)) if judged[i]]
-    x = scorer.features([texts[i] for i in held])
-    w = _logistic(x, y[held].astype(float))
-    if w[2] > 0:  # a text is not more toxic for being longer
-        w = np.insert(_logistic(x[:, :2], y[held].astype(float)), 2, 0.0)
-    return Model(model.weights, model.constant, w)
+        neg += new[:FIT_ADDED]
+    return model
+
+
+def _cut(z: np.ndarray, y: np.ndarray) -> float:
+    """The value that parts toxic from clean texts best: found share less FALSE_ALARM times the wrong share; in the middle of the widest best gap."""
+    order = np.argsort(z)
+    z, y = z[order], y[order]
+    edges = np.concatenate([[z[0] - 2], z, [z[-1] + 2]])
+    above = lambda hit: np.concatenate([[hit.sum()], hit.sum() - np.cumsum(hit)]) / max(1, hit.sum())
+    gain = above(y == 1) - FALSE_ALARM * above(y == 0)
+    width = np.where(gain >= gain.max() - 1e-12, np.diff(edges), -1.0)
+    k = int(width.argmax())
+    return float(edges[k] + edges[k + 1]) / 2
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -446,16 +490,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return w
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Model:
-    """Fit on at most toxic and clean labelled texts, those whose ids have the smallest hashes."""
+def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most toxic and clean labelled texts, those whose ids have the smallest hashes, of most_bytes bytes at most."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     picked = None
     for label, most in ((1, toxic), (0, clean)):
         some = marked.where(F.col("label") == label).orderBy(F.xxhash64("id", F.lit("train")), "id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(picked), "id")
-    # a text for each id, however many rows repeat it
-    rows = found.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")).collect()
+    # a text for each id, however many rows repeat it; then the first of them by hash that fit the bytes
+    found = persist_table(found.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "toxicity-sample")
+    # at most toxic + clean rows of numbers: one task orders them
+    w = Window.orderBy(F.xxhash64("id", F.lit("train")), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fitting = found.select("id", F.sum(F.octet_length("text")).over(w).alias("upto")).where(F.col("upto") <= most_bytes).select("id")
+    rows = found.join(F.broadcast(fitting), "id").collect()
     ordered = sorted(rows, key=lambda r: r["id"])
     return fit([r["text"] for r in ordered], [int(r["label"]) for r in ordered])
 

@@ -233,3 +233,25 @@ def test_disguised_insults():
     harmless = " ".join(words[:20])
     shown = scorer.scores([f"{harmless} {w} {harmless}" for w in ("dumbface", "d.u.m.b.f.a.c.e", "dumb-face", "dumbxface", "r a t b a g", "RATBAG!")])
     assert (shown >= toxicity.THRESHOLD).all() and scorer.scores([harmless])[0] < 0.5
+
+
+def test_long_tokens_are_scored_whole():
+    chain = ".".join("idiot" * 9)
+    assert "idiot" * 9 in toxicity.forms(chain)
+    scorer = toxicity.Scorer(toxicity.fit([f"you {w} there {k}" for k in range(40) for w in ("idiot", "friend")], [1, 0] * 40))
+    plain = "-".join(["walking", "talking", "reading", "singing"] * 4)
+    high, low = scorer.scores([f"{plain}-i.d.i.o.t-{plain}", plain])
+    assert high >= toxicity.THRESHOLD > low
+
+
+def test_training_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, ("idiot " if i % 2 else "friend ") * 100 + str(i)) for i in range(40)] + [(50, None), (None, "idiot")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    seen = []
+    fit, toxicity.fit = toxicity.fit, lambda texts, marks: seen.append((texts, marks))
+    try:
+        toxicity.fit_on(docs, labels, most_bytes=10_000)
+        toxicity.fit_on(docs, labels)
+    finally:
+        toxicity.fit = fit
+    assert 0 < sum(len(t) for t in seen[0][0]) <= 10_000 and len(seen[1][0]) == 40
