@@ -8,7 +8,8 @@ of a URL wins. URLs are judged once however often they occur.
 
 Defined results: a null URL, or one without "://", has an empty host and path and gets the default verdict;
 a path that is empty starts with no rule's path; an empty table gives no rows; a URL's verdict does not
-depend on how often it occurs; clashing names of other columns do no harm, as only id and URL are read.
+depend on how often it occurs; a rule that is listed with several verdicts has the last of them by code point (block
+before allow); hosts of rules are lower-cased like those of URLs; clashing names of other columns do no harm, as only id and URL are read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ BITS_SET = 8
 BITS_PER_KEY = 16
 #: Rules and blocks are broadcast up to so many rules (about 200 bytes each); beyond, both joins shuffle.
 BROADCAST_RULES = 200_000
+#: Different path lengths up to which each is tried on every path; beyond, only those of the host's rules.
+LENGTHS = 256
 SEP = "\u0001"
 
 
@@ -42,7 +45,7 @@ def rules_table(spark: SparkSession, rules: Sequence[tuple[str, str]]) -> DataFr
     """(rule, verdict) pairs as rows: rule, verdict, host, prefix."""
     df = spark.createDataFrame(list(rules), "rule string, verdict string")
     at = F.instr("rule", "/")
-    return df.select("rule", "verdict", F.expr("substring(rule, 1, instr(rule, '/') - 1)").alias("host"), F.expr("substring(rule, instr(rule, '/'))").alias("prefix")).where(at > 0)
+    return df.select("rule", "verdict", ascii_lower(F.expr("substring(rule, 1, instr(rule, '/') - 1)")).alias("host"), F.expr("substring(rule, instr(rule, '/'))").alias("prefix")).where(at > 0)
 
 
 def _bits(key: Column, blocks: int) -> tuple[Column, Column]:
@@ -65,22 +68,26 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
     n = rules.count()
     hint = F.broadcast if n <= BROADCAST_RULES else (lambda df: df)
     blocks = max(1, -(-n * BITS_PER_KEY // (64 * BLOCK_WORDS)))
-    lengths = [r[0] for r in rules.select(F.length("prefix")).distinct().limit(4096).collect()]
-    if len(lengths) >= 4096:
-        raise ValueError("rules have more than 4,095 different path lengths")
+    lengths = rules.select(F.length("prefix").alias("n")).distinct()
+    few = [r[0] for r in lengths.limit(LENGTHS + 1).collect()]
     urls = pages.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    starts = F.filter(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in sorted(lengths)]), lambda x: x.isNotNull()) if lengths else F.array().cast("array<string>")
     seen = urls.select("host", "path").distinct().where("host <> ''")
     labels = seen.withColumn("labels", F.split("host", r"\."))
     suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
-    cand = labels.select("host", "path", F.explode(suffixes).alias("suffix")).select("host", "path", "suffix", F.explode(starts).alias("prefix"))
+    suffixed = labels.select("host", "path", F.explode(suffixes).alias("suffix"))
+    if len(few) <= LENGTHS:
+        starts = F.filter(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in sorted(few)]), lambda x: x.isNotNull()) if few else F.array().cast("array<string>")
+        cand = suffixed.select("host", "path", "suffix", F.explode(starts).alias("prefix"))
+    else:  # each length that rules of the suffix's host have, by a join: only those can be met
+        of_host = rules.select(F.col("host").alias("suffix"), F.length("prefix").alias("n")).distinct()
+        cand = suffixed.join(of_host, "suffix").where(F.length("path") >= F.col("n")).select("host", "path", "suffix", F.expr("substring(path, 1, n)").alias("prefix"))
     block, bits = _bits(F.concat("suffix", F.lit(SEP), "prefix"), blocks)
     probe = cand.withColumn("block", block).withColumn("bits", bits).join(hint(bloom_blocks(rules, blocks)), "block")
     hit = F.lit(True)
     for i in range(BITS_SET):
         hit = hit & (F.expr(f"shiftrightunsigned(words[cast(floor(bits[{i}] / 64) as int)], bits[{i}] % 64) & 1") == 1)
     maybe = probe.where(hit).select("host", "path", "suffix", "prefix")
-    exact = maybe.join(hint(rules.select(F.col("host").alias("suffix"), "prefix", "rule", "verdict").dropDuplicates(["suffix", "prefix"])), ["suffix", "prefix"])
+    exact = maybe.join(hint(rules.groupBy(F.col("host").alias("suffix"), "prefix").agg(F.max(F.struct("verdict", "rule")).alias("r")).select("suffix", "prefix", "r.rule", "r.verdict")), ["suffix", "prefix"])
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
     out = urls.join(best, ["host", "path"], "left")
     return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
