@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfield.session import persist_table, scratch_path, shared_dir
 
-__all__ = ["ASCII_LOWER", "ASCII_UPPER", "WORD", "ascii_lower", "hash60", "persist_table", "scratch_path", "shared_dir", "table", "word_count"]
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "WORD", "ascii_lower", "free_name", "hash60", "persist_table", "scratch_path", "shared_dir", "table", "word_count"]
 
 #: A word: a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,3 +32,11 @@ def word_count(text: Column) -> Column:
 def hash60(key: Column) -> Column:
     """The first 60 bits of a string's MD5 as LONG, which DuckDB can compute as well."""
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -22,6 +22,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import free_name
 
 # Fixed values of the Matroska format: element IDs.
 EBML = 0x1A45DFA3
@@ -375,9 +378,18 @@ def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def store(docs: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
-    """docs with each text as a Matroska file in media_col."""
-    media = F.udf(lambda raw: mux(pad(bytes(raw or b""))), "binary", useArrow=True)
-    return docs.withColumn(media_col, media(F.col(text_col).cast("binary")))
+    """docs with each text as a Matroska file in media_col, with an underscore more where docs have such a column."""
+    media_col = free_name(docs, media_col)
+    place, names = docs.columns.index(text_col), [*docs.columns, media_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                media = [mux(pad((t.as_py() or "").encode("utf-8", "surrogatepass"))) for t in part.column(place)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], names=names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(media_col, T.BinaryType())]))
 
 
 def packet_table(files: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:

@@ -8,7 +8,7 @@ The table's size is a parameter, not a function of the data, so it travels insid
 row needs no shuffle, whatever the keys' frequencies.
 
 Defined results: rows with the same key, null among them, get the same slot; an empty table gives no rows;
-columns of docs that are named like the output columns are replaced.
+where docs have a column of an output's name, the output's gets an underscore more and docs keep theirs.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60
+from .common import free_name, hash60
 
 #: A prime, over 100 times the shards, so that shares differ by less than a hundredth.
 SLOTS = 6_569
@@ -61,6 +61,8 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 def place(docs: DataFrame, key_col: str = "doc_id", shards: list[str] | None = None, slots: int = SLOTS, slot_name: str = "slot", shard_name: str = "shard") -> DataFrame:
     """docs with the slot and the shard's index of each row's key."""
+    slot_name = free_name(docs, slot_name)
+    shard_name = free_name(docs, shard_name)
     owner = lookup_table(shards or shard_names(), slots)
     table = F.array(*[F.lit(i) for i in owner]) if slots < 512 else F.split(F.lit(",".join(map(str, owner))), ",").cast("array<int>")
     return docs.withColumn(slot_name, slot_of(F.col(key_col), slots)).withColumn(shard_name, F.element_at(table, F.col(slot_name) + 1))
