@@ -1,7 +1,8 @@
 """SimHash near-duplicates: exact links within a Hamming radius, found by BK-trees over shards.
 
-Two fingerprints of 64 bits that differ in at most three bits agree in at least one of four blocks of
-sixteen bits. A shard holds the fingerprints of one block value, so every link lies inside some shard and
+Two fingerprints of 64 bits that differ in at most three bits agree in all but three of any number of blocks. A shard
+holds the fingerprints that agree in so many blocks (one of four, two of five or three of six, by how many
+fingerprints there are, so that shards stay small), and there is a table of shards for each choice of blocks, so every link lies inside some shard and
 no tree has to reach all executors. In a shard a BK-tree is built and walked for all its fingerprints at
 once: children are keyed by their distance to the parent, and only edges within the radius of a query's
 distance are followed. A shard larger than SHARD_ROWS is dealt into parts, and each pair of parts is a
@@ -20,6 +21,7 @@ text are read, so other columns' names do no harm.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from .common import persist_table
 
 RADIUS = 3
 SHINGLE = 3
-BLOCKS = RADIUS + 1
-BLOCK_BITS = 64 // BLOCKS
+#: Fingerprints that a shard should hold on average, at most.
+SHARD_MEAN = 64
 SEED = 42
 #: Fingerprints in one part of a shard; a task holds two parts at most.
 SHARD_ROWS = 8_192
@@ -160,11 +162,25 @@ def local_components(fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         parent = new
 
 
-def shard_edges(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Star edges a > b between the distinct fingerprints fp of fps whose components are those of all links."""
+def blocks_for(count: int, radius: int = RADIUS) -> int:
+    """Blocks of a fingerprint: the fewest of up to radius + 3 for which shards hold SHARD_MEAN fingerprints on average."""
     blocks = radius + 1
-    width = 64 // blocks
-    value = [F.expr(f"shiftrightunsigned(fp, {width * i}) & {(1 << width) - 1}") for i in range(blocks)]
+    while blocks < radius + 3 and count / 2.0 ** (64 * (blocks - radius) / blocks) > SHARD_MEAN:
+        blocks += 1
+    return blocks
+
+
+def key_masks(blocks: int, radius: int = RADIUS) -> list[int]:
+    """Bits of the keys: each choice of all blocks but radius."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [sum(chosen) for chosen in combinations(parts, blocks - radius)]
+
+
+def shard_edges(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, blocks: int | None = None) -> DataFrame:
+    """Star edges a > b between the distinct fingerprints fp of fps whose components are those of all links."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    value = [F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in key_masks(blocks or blocks_for(fps.count(), radius), radius)]
     dealt = fps.select("fp", F.posexplode(F.array(*value)).alias("block", "value"))
     large = dealt.groupBy("block", "value").count().where(F.col("count") > shard_rows).select("block", "value", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
     large = persist_table(large, "simhash-large-shards")
