@@ -177,10 +177,11 @@ def key_masks(blocks: int, radius: int = RADIUS) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, blocks - radius)]
 
 
-def shard_edges(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, blocks: int | None = None) -> DataFrame:
-    """Star edges a > b between the distinct fingerprints fp of fps whose components are those of all links."""
+def shard_edges(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, blocks: int | None = None, masks: list[int] | None = None) -> DataFrame:
+    """Star edges a > b between the distinct fingerprints fp of fps whose components are those of all links (inside the shards, where masks name their keys' bits)."""
+    masks = masks or key_masks(blocks or blocks_for(fps.count(), radius), radius)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    value = [F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in key_masks(blocks or blocks_for(fps.count(), radius), radius)]
+    value = [F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks]
     dealt = fps.select("fp", F.posexplode(F.array(*value)).alias("block", "value"))
     large = dealt.groupBy("block", "value").count().where(F.col("count") > shard_rows).select("block", "value", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
     large = persist_table(large, "simhash-large-shards")
@@ -284,7 +285,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # id and digest tell the text, and so the group; a count of rows for each, then one of them for each group
     first = _grouped(rows, radius).where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "id", "digest").agg(F.count("*").alias("rows"))
     keep = first.groupBy("root").agg(F.min(F.struct("digest", "id", "rows")).alias("kept"))
-    keep = keep.select(F.col("kept.id").alias("__keep_id"), F.col("kept.digest").alias("__keep_digest"), F.col("kept.rows").alias("__rows"))
+    return rows_kept(docs, keep.select(F.col("kept.id").alias("__keep_id"), F.col("kept.digest").alias("__keep_digest"), F.col("kept.rows").alias("__rows")), id_col, text_col)
+
+
+def rows_kept(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that keep names by __keep_id and __keep_digest, one for each where __rows of them are alike."""
     keep = persist_table(keep, "simhash-keep")
     # as many as documents that stay: they are never broadcast, however few they are here
     kept = docs.withColumn("__digest", digest(text_col)).join(keep.hint("merge"), F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__digest") == F.col("__keep_digest")))

@@ -6,9 +6,10 @@ import zlib
 
 import pytest
 
-from nearfield.llm import queries, sharding, simhash, tokens
+from nearfield.llm import nearcopies, queries, sharding, tokens
 
 from ..conftest import rows_of
+from .test_nearcopies import roots
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -135,7 +136,10 @@ def test_pipeline_on_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     clean = corpus_pipeline.reject_toxic(spark, docs, sf_dir)
     single = corpus_pipeline.one_of_near_duplicates(spark, clean, sf_dir)
-    assert {r.doc_id for r in single.select("doc_id").collect()} == {r.component_id for r in simhash.near_duplicates(clean).collect()}
+    # the stage's rule is five-word shingles of Jaccard 0.8 and more: the smallest id of each class by all pairs
+    texts = sorted((r.doc_id, r.text) for r in clean.collect())
+    first = roots([nearcopies.shingles(t.encode() if t else None) for _, t in texts])
+    assert {r.doc_id for r in single.select("doc_id").collect()} == {texts[k][0] for k in first}
     rest = corpus_pipeline.without_benchmark(spark, single, sf_dir)
     leaked = {r.doc_id for r in queries.decontaminate.find_leaks(single, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in rest.select("doc_id").collect()} == {r.doc_id for r in single.select("doc_id").collect()} - leaked
@@ -149,3 +153,28 @@ def test_pipeline_on_brute_force(spark, sf_dir):
     for r in out.collect():
         assert r.slot == int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % sharding.SLOTS and r.shard == owner[r.slot]
     assert out.count() == mixed.count()
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, ties, repeated rows and columns with names of the stages' own; then no rows at all."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, slot int, score double, class string"
+    long = " ".join(f"w{k}" for k in range(20_000))
+    rows = [(1, None), (2, ""), (3, long), (3, long), (None, "some words of a text without an id"), (None, "some words of a text without an id"), (4, "a text of its own, with few words"), (5, "what an idiot"), (6, " \t\n")]
+    rows = [(i, t, "en", s, 0, 7, 0.5, "c") for (i, t), s in zip(rows, [None, "a", "a", "a", "b", "b", None, "b", "a"], strict=True)]
+    for name, some in (("odd", rows), ("none", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(some, schema).write.parquet(f"{d}/documents.parquet")
+        marks = [(k, k % 2) for k in range(3, 7)] if some else []
+        spark.createDataFrame(marks, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "")] if some else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        out = corpus_pipeline.run(spark, d)
+        assert out.columns == [*docs.columns, "slot_", "shard"] and out.where("slot <> 7").isEmpty()
+        if not some:
+            assert out.count() == 0
+            continue
+        kept = {(r.doc_id, (r.text or "").strip()[:20]) for r in out.collect()}
+        for stage in (corpus_pipeline.reject_toxic, corpus_pipeline.one_of_near_duplicates, corpus_pipeline.without_benchmark, corpus_pipeline.mixed):
+            assert stage(spark, docs, d).columns == docs.columns
+        assert kept <= {(1, ""), (3, long[:20]), (None, "some words of a text"), (4, "a text of its own, w"), (5, "what an idiot")} and (1, "") in kept
