@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import decontaminate, mixing, sharding, simhash, toxicity
+from nearfield.llm import decontaminate, mixing, nearcopies, sharding, toxicity
 from nearfield.llm.common import persist_table, table
 
 
@@ -24,8 +24,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of linked fingerprints."""
-    return simhash.keep_first(docs)
+    """The document of smallest id of each class of five-word shingles of Jaccard 0.8 and more."""
+    return nearcopies.keep_first(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
