@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import formats
 from nearfield.operators import adaptive, exact, families, hash_sources, tables
-from nearfield.session import persist_table
+from nearfield.session import persist_table, scratch_path
 
 #: Tables where neither a number nor a memory limit is given.
 DEFAULT_TABLES = 64
@@ -248,6 +248,17 @@ class AnnIndex:
         return index
 
 
+    def __reduce__(self):
+        """Pickled as the path of a copy in the shared folder; unpickling loads it with the active session."""
+        path = scratch_path(self.spark, "pickled-index")
+        self.save(path)
+        return _loaded, (path,)
+
+
+def _loaded(path: str) -> AnnIndex:
+    return AnnIndex.load(SparkSession.active(), path)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

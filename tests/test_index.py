@@ -172,6 +172,28 @@ def test_vectors_of_other_lengths_are_errors(spark):
     assert [r.similarity for r in exact.knn(hollow, asked(hollow.where("id = 0")), 2, "jaccard", "tokens").collect()] == [1.0, 1.0]
 
 
+def test_pickled_index_answers_as_before(spark):
+    import pickle
+
+    points = near_points(spark, 100, 8, 3)
+    index = AnnIndex(spark, "angular", 8, num_tables=8).insert(points).rebuild().insert(frame(spark, [(900, [1.0] * 8)]))
+    again = pickle.loads(pickle.dumps(index))
+    queries = asked(points.where("id < 5"))
+    rows = lambda i: sorted(map(tuple, i.search(queries, 3, 0.8, "none").collect()))
+    assert rows(again) == rows(index) and again.count() == 201 and again.get_repetitions() == 8
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from nearfield import session
+
+    none = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: none, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(SimpleNamespace(sparkContext=context, conf=none))
+
+
 def test_l2_collections_are_searched_exactly(spark, tmp_path):
     index = AnnIndex(spark, "l2", 2).insert(frame(spark, TINY)).rebuild()
     assert [r.id for r in index.search_bf(asked(frame(spark, [(0, (1.0, 0.0))])), 3).orderBy("rank").collect()] == [0, 4, 2]
