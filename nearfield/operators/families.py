@@ -7,6 +7,7 @@ for each function. Vectors come as a matrix, sets as a flat token array with row
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -74,7 +75,7 @@ class _CrossPolytopeBase:
 
     @classmethod
     def collision(cls, dimensions: int, estimation_repetitions: int = 1000, estimation_eps: float = 5e-3, seed: int = 0, **_):
-        return CrossPolytopeEstimate(dimensions, estimation_repetitions, estimation_eps, seed)
+        return _estimate(dimensions, estimation_repetitions, estimation_eps, seed)
 
 
 class CrossPolytopeEstimate:
@@ -96,6 +97,11 @@ class CrossPolytopeEstimate:
         return float(self.table[b, min(self.table.shape[1] - 1, max(0, int(s / self.eps + 1e-9)))])
 
 
+@lru_cache(maxsize=16)
+def _estimate(dimensions: int, repetitions: int, eps: float, seed: int) -> CrossPolytopeEstimate:
+    return CrossPolytopeEstimate(dimensions, repetitions, eps, seed)
+
+
 class FHTCrossPolytope(_CrossPolytopeBase):
     """The closest axis after pseudo-random rotations: sign flips and Hadamard transforms."""
 
@@ -107,11 +113,15 @@ class FHTCrossPolytope(_CrossPolytopeBase):
         padded = np.zeros((len(x), self.size))
         padded[:, : x.shape[1]] = x
         out = np.empty((len(x), len(self.signs)), dtype=np.int64)
-        for f, rotations in enumerate(self.signs):
-            y = padded
-            for signs in rotations:
-                y = hadamard(y * signs)
-            out[:, f] = closest_axis(y)
+        # short transforms are products with a small matrix, many functions at a time
+        turned = (lambda y: y @ hadamard(np.eye(self.size))) if self.size <= 256 else hadamard
+        step = max(1, 1_000_000 // max(1, len(x) * self.size))
+        for f in range(0, len(self.signs), step):
+            some = self.signs[f : f + step]
+            y = padded[:, None, :]
+            for r in range(some.shape[1]):
+                y = turned(y * some[:, r])
+            out[:, f : f + step] = closest_axis(y)
         return out
 
 
