@@ -20,9 +20,7 @@ text are read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
-import operator
 import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
@@ -90,15 +88,24 @@ class Novelty:
         return size(before + candidate + after) - size(before + after)
 
 
+def sensitive(text: str) -> bool:
+    """Whether a text may hold a sensitive word at all."""
+    low = text.lower()
+    return any(w in low for w in SIGNS)
+
+
 def corpus_words(docs: DataFrame, text_col: str = "text", least: int = CORPUS_LEAST, most: int = CORPUS_WORDS) -> list[str]:
     """Words that follow sensitive words in the most different places, the most frequent last.
 
     A place is the text that follows, so copies of a document count once.
     """
-    after = rf"(?i){SENSITIVE.pattern}[\s\S]{{0,{REACH}}}"
-    low = F.lower(text_col)
-    some = functools.reduce(operator.or_, [low.contains(w) for w in SIGNS])
-    places = docs.where(some).select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(after), F.lit(0))).alias("place")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {text[m.start() : m.end() + REACH] for t in batch.column(0) if sensitive(text := t.as_py() or "") for m in SENSITIVE.finditer(text)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["place"])
+
+    places = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "place string").distinct()
     words = places.select(F.explode(F.array_distinct(F.regexp_extract_all("place", F.lit("[A-Za-z_]{4,}"), F.lit(0)))).alias("word"))
     often = words.groupBy("word").count().where(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(most)
     return [r[0] for r in often.collect()][::-1]
@@ -117,8 +124,7 @@ def base_spans(text: str) -> list[Span]:
 
 def novel_spans(text: str, novelty: Novelty) -> list[Span]:
     """Incompressible candidates within reach of a sensitive word, whatever the patterns say."""
-    low = text.lower()
-    if not any(w in low for w in SIGNS):
+    if not sensitive(text):
         return []
     words = [m.span() for m in SENSITIVE.finditer(text)]
     found: list[Span] = []
