@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions import formats
 from nearfield.functions.numbers import key_of
 from nearfield.operators import exact, families, hash_sources
 from nearfield.session import persist_table, scratch_path
 
-from .catalog import DIMENSIONS, DOC_SETS, JACCARD, L2, QUERIES, UNIVERSE, asked_vectors, doc_sets, knn_sql, query, rounded, vectors
+from .catalog import DIMENSIONS, DOC_SETS, EVERY_20TH, JACCARD, L2, QUERIES, UNIVERSE, asked_vectors, doc_sets, knn_sql, query, rounded, vectors
 from .index import AnnIndex
 
 SEED = 42
@@ -301,11 +300,9 @@ def sets_index(spark, sf_dir, **options) -> AnnIndex:
 
 
 def asked_sets(spark, sf_dir) -> DataFrame:
-    return doc_sets(spark, sf_dir).where(EVERY).select((2 * F.col("id")).alias("query_id"), "tokens")
+    return doc_sets(spark, sf_dir).where(EVERY_20TH).select((2 * F.col("id")).alias("query_id"), "tokens")
 
 
-EVERY = "id % 20 = 0"
-
 # how the searches came about
 
 SETTINGS = (
