@@ -127,6 +127,15 @@ def test_tables_answer_without_brute_force(spark, monkeypatch, filter_type, opti
     assert sum(r.finished for r in rounds) == 30 and all(r.depth > 0 for r in rounds)
 
 
+@pytest.mark.parametrize("family", ["simhash", "fht_crosspolytope"])
+def test_tables_find_the_closest_pairs(spark, monkeypatch, family):
+    index = AnnIndex(spark, "angular", 24, num_tables=48, hash_function=family).insert(near_points(spark, 500, 24, 1)).rebuild()
+    want = {(r.id_a, r.id_b) for r in index.closest_pairs_bf(10).collect()}
+    monkeypatch.setattr(exact, "closest_pairs", None)  # any call fails
+    assert {(r.id_a, r.id_b) for r in index.closest_pairs(10, 0.999).collect()} == want
+    assert all(r.depth > 0 for r in index.query_metrics().collect())
+
+
 def test_hashes_that_say_nothing_answer_nothing(spark, monkeypatch):
     """With scrambled hashes the tables finish few queries, so the counts above come from the families."""
     from nearfield.operators import tables
