@@ -18,8 +18,9 @@ def squared_norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """v at length 1, as doubles; a zero vector stays zero."""
-    norm = F.sqrt(squared_norm(v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    # the norm is bound as a variable: inside the lambda it would be computed again for each element
+    bound = F.array(F.struct(v.alias("v"), F.sqrt(squared_norm(v)).alias("norm")))
+    return F.transform(bound, lambda p: F.transform(p["v"], lambda x: F.when(p["norm"] > 0, x.cast("double") / p["norm"]).otherwise(x.cast("double"))))[0]
 
 
 def to_q15(x: Column) -> Column:

@@ -41,7 +41,7 @@ class Hasher:
 
 
 def hashed(points: DataFrame, hasher: Hasher, column: str, batch_rows: int = 512) -> DataFrame:
-    """id, hashes (one for each table), sketches of points (id, column), in one pass and without a shuffle."""
+    """points (id, column) with hashes (one for each table) and sketches, in one pass and without a shuffle."""
     shared = points.sparkSession.sparkContext.broadcast(hasher)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,9 +50,10 @@ def hashed(points: DataFrame, hasher: Hasher, column: str, batch_rows: int = 512
                 part = batch.slice(at, batch_rows)
                 hashes, sketches = shared.value(pa.concat_arrays([part.column(1)]))
                 rows = [pa.FixedSizeListArray.from_arrays(pa.array(m.ravel(), kind), m.shape[1]).cast(pa.list_(kind)) if m.shape[1] else pa.array([[]] * len(m), pa.list_(kind)) for m, kind in ((hashes, pa.int32()), (sketches, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *rows], names=["id", "hashes", "sketches"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *rows], names=["id", column, "hashes", "sketches"])
 
-    return points.select(F.col("id").cast("long"), column).where(F.col(column).isNotNull() & F.col("id").isNotNull()).mapInArrow(run, "id long, hashes array<int>, sketches array<long>")
+    light = points.select(F.col("id").cast("long"), column).where(F.col(column).isNotNull() & F.col("id").isNotNull())
+    return light.mapInArrow(run, f"id long, {column} {light.schema[column].dataType.simpleString()}, hashes array<int>, sketches array<long>")
 
 
 def table_rows(points: DataFrame) -> DataFrame:

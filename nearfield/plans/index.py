@@ -76,7 +76,8 @@ class AnnIndex:
 
     def insert(self, points: DataFrame) -> AnnIndex:
         """Add points (id, features or tokens). Rows of another length, or with tokens outside the universe, are errors."""
-        self.staged.append(points.select(F.col("id").cast("long").alias("id"), self._stored(F.col(self.column)).alias(self.column)).where(f"id is not null and {self.column} is not null"))
+        given = points.where(F.col("id").isNotNull() & F.col(self.column).isNotNull())
+        self.staged.append(given.select(F.col("id").cast("long").alias("id"), self._stored(F.col(self.column)).alias(self.column)))
         return self
 
     def points(self) -> DataFrame:
@@ -137,17 +138,22 @@ class AnnIndex:
         """
         if not self.staged or self.spec.metric == "l2":
             return self
-        new = persist_table(_union(self.staged), "index-new")
-        self.built_count += new.count()
-        wanted = self._choose_tables(self.built_count)
+        new = _union(self.staged)
+        if self.spec.memory_limit and not self.spec.num_tables:  # only then the number of points decides about the tables
+            new = persist_table(new, "index-new")
+            wanted = self._choose_tables(self.built_count + new.count())
+        else:
+            wanted = self._choose_tables(0)
         if self.tables_used and wanted < self.tables_used and self.source_kind is hash_sources.Independent:
             # the budget holds fewer tables now: the first ones stay, as their functions do
             self.tables_used = wanted
         if not self.tables_used:
             self.tables_used = self.made_for = wanted
         self.source = self.source or self._source(self.made_for)
+        # points, hashes and sketches are one table, of which each reader takes its columns
         hashed = persist_table(tables.hashed(new, self._hasher(), self.column), "index-hashed")
-        points = persist_table(new.join(hashed.select("id", "sketches").dropDuplicates(["id"]), "id"), "index-points")
+        points = hashed.select("id", self.column, "sketches")
+        self.built_count += points.count()
         self._add_segment(points, tables.table_rows(hashed))
         if len(self.segments) >= SEGMENTS:
             points, rows = persist_table(self.built, "index-points"), self.tables
@@ -167,7 +173,7 @@ class AnnIndex:
     # searching
 
     def _asked(self, queries: DataFrame) -> DataFrame:
-        return queries.select(F.col("query_id").cast("long"), self._stored(F.col(self.column)).alias(self.column))
+        return queries.where(F.col(self.column).isNotNull()).select(F.col("query_id").cast("long"), self._stored(F.col(self.column)).alias(self.column))
 
     def _searchable(self, filter_type: str) -> None:
         if filter_type not in adaptive.FILTERS:
@@ -178,14 +184,13 @@ class AnnIndex:
     def search(self, queries: DataFrame, k: int, recall: float, filter_type: str = "default", exclude_self: bool = False) -> DataFrame:
         """query_id, id, similarity, rank of the k nearest of each query (query_id, features or tokens)."""
         self._searchable(filter_type)
-        asked = persist_table(self._asked(queries), "index-asked")
+        asked = self._asked(queries)
         if not self.segments:
             return exact.knn(self.points().limit(0), asked, k, self.spec.metric, self.column)
         hashed = tables.hashed(asked.withColumnRenamed("query_id", "id"), self._hasher(), self.column)
-        hashed = hashed.select(F.col("id").alias("query_id"), F.slice("hashes", 1, self.tables_used).alias("hashes"), "sketches").dropDuplicates(["query_id"])
+        asked = hashed.select(F.col("id").alias("query_id"), self.column, F.slice("hashes", 1, self.tables_used).alias("hashes"), "sketches").dropDuplicates(["query_id"])
         self.source.tables = self.tables_used
         collision = self.sketches.collision(self.spec.dimensions)
-        asked = asked.dropDuplicates(["query_id"]).join(hashed, "query_id")
         return adaptive.search(
             self.built, self.tables, self.directory(), self.built_count, asked, self.source, collision, k, recall, self.spec.metric, self.column, filter_type, exclude_self, self.metrics, self.spec.storage
         )

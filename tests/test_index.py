@@ -245,3 +245,22 @@ def test_streamed_inserts_and_queries(spark, tmp_path):
     questions = spark.readStream.schema("query_id long, features array<float>").parquet(str(tmp_path / "asked"))
     ingest.answer_stream(index, questions, 2, 0.9, str(tmp_path / "answers"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "answers")).count() == 6
+
+
+def test_null_rows_are_left_out_and_equal_ids_keep_their_points(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(150)] + [(None, [1.0, 0.0]), (7, None), (7, [0.0, 1.0])]
+    points = spark.createDataFrame(rows, "id long, features array<double>")
+    index = AnnIndex(spark, "angular", 2, num_tables=16, hash_function="simhash").insert(points).rebuild()
+    assert index.count() == index.built_count == 151
+    questions = spark.createDataFrame([(1, [0.0, 2.0]), (1, [0.0, 2.0]), (2, None)], "query_id long, features array<double>")
+    found = index.search(questions, 1, 0.9999, "none").collect()
+    assert [(r.query_id, r.id, round(r.similarity, 9)) for r in found] == [(1, 7, 1.0)]
+    sketches = index.built.where("id = 7").select("features", "sketches").collect()
+    assert len(sketches) == 2 and sketches[0].sketches != sketches[1].sketches
+
+
+def test_normalise_of_nulls_and_zero(spark):
+    from nearfield.functions import formats
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "v array<double>")
+    assert [r[0] for r in df.select(formats.normalise(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
