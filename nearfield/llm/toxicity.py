@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import persist_table
+from .common import free_name, persist_table
 
 #: The training sample: most texts of each class, and most bytes of both, chosen by hash.
 TRAIN_TOXIC = 1_000
@@ -509,12 +509,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with the score of each whole text in score_col."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    kept = docs.drop(score_col)
-    place = kept.columns.index(text_col)
-    names = [*kept.columns, score_col]
+    """docs with the score of each whole text in score_col, with an underscore more where docs have such a column."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    score_col = free_name(docs, score_col)
+    place = docs.columns.index(text_col)
+    names = [*docs.columns, score_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -523,5 +522,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer.scores(part.column(place).to_pylist()), pa.float64())], names=names)
 
-    schema = T.StructType([*kept.schema.fields, T.StructField(score_col, T.DoubleType())])
-    return kept.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
