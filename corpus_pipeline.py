@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import decontaminate, mixing, nearcopies, sharding, toxicity
-from nearfield.llm.common import persist_table, table
+from nearfield.llm.common import free_name, persist_table, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     labels = table(spark, sf_dir, "labels")
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
     model = toxicity.fit_on(docs, labels.where(~held_out))
-    return toxicity.score(docs, model, score_col="__toxicity").where(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "toxicity")
+    return toxicity.score(docs, model, score_col=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
