@@ -1,15 +1,23 @@
 """Hash families as pure relations, with MD5-derived constants that another engine can reproduce.
 
-These run inside generated code, without Python, and are bit-identical wherever MD5 and integer sums are.
+These run inside generated code, MinHash over Arrow batches, and are bit-identical wherever MD5 and integer sums are.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.formats import to_q15
 
+#: Tokens whose hashes a task remembers.
+TOKENS = 200_000
+
 
 def md5_int(key: Column) -> Column:
     """The first 32 bits of a string's MD5."""
@@ -40,15 +48,34 @@ def simhash_tables(points: DataFrame, tables: int, bits: int, dimensions: int, i
 def minhash_tables(sets: DataFrame, tables: int, id_col: str = "id", column: str = "tokens", seed: int = 42) -> DataFrame:
     """table_id, id, token (of smallest hash, then smallest), hash.
 
-    A token is hashed once, not once for each set that holds it; sets meet the tokens' hashes by a join.
+    Sets are hashed where they are, a token about once in a task; a row for each set and table is shuffled, as an id may have several sets.
     """
-    each = sets.select(F.col(id_col).alias("id"), F.explode(column).alias("token"))
-    # hash (32 bits) and token (31 bits) in one number, whose minimum is a hash aggregate
-    keys = [(F.shiftleft(md5_int(F.concat(F.lit(f"{seed}:{t}:"), F.col("token").cast("string"))), 31) + F.col("token")).alias(f"h{t}") for t in range(tables)]
-    known = each.select("token").distinct().select("token", *keys)
-    least = each.join(known, "token").groupBy("id").agg(*[F.min(f"h{t}").alias(f"h{t}") for t in range(tables)])
-    each_table = least.select("id", F.posexplode(F.array(*[F.col(f"h{t}") for t in range(tables)])).alias("table_id", "key"))
-    return each_table.select("table_id", "id", F.col("key").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("token"), F.shiftright("key", 31).alias("hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[int]] = {}
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            full = np.flatnonzero(sizes)
+            if not len(full):
+                continue
+            distinct, place = np.unique(flat.to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
+            if len(known) > TOKENS:
+                known.clear()
+            for t in distinct.tolist():
+                if t not in known:
+                    # hash (32 bits) and token (31 bits) in one number
+                    known[t] = [int(hashlib.md5(f"{seed}:{i}:{t}".encode(), usedforsecurity=False).hexdigest()[:8], 16) << 31 | t for i in range(tables)]
+            keys = np.array([known[t] for t in distinct.tolist()], dtype=np.int64)
+            starts = (np.cumsum(sizes) - sizes)[full]
+            ids = batch.column(0).take(pa.array(full))
+            for i in range(tables):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), i, np.int32)), ids, pa.array(np.minimum.reduceat(keys[:, i][place], starts))], names=["table_id", "id", "key"])
+
+    sets = sets.select(F.col(id_col).alias("id"), F.array_compact(column).alias(column)).where(F.col(column).isNotNull())
+    least = sets.mapInArrow(run, f"table_id int, id {sets.schema['id'].dataType.simpleString()}, key long").groupBy("table_id", "id").agg(F.min("key").alias("key"))
+    return least.select("table_id", "id", F.col("key").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("token"), F.shiftright("key", 31).alias("hash"))
 
 
 def tabulation_hash(token: Column, seed: int = 42) -> Column:
